@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding, licenses, line_dedup, neardup, packing, sharding, toxicity, warc
+from . import decontaminate, embedding, licenses, line_dedup, neardup, packing, repeats, sharding, toxicity, warc
 from .common import NULL_ID
 
 #: Labels in the order of the chain.
@@ -42,6 +42,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), group)
 
 
+def op5_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_embedding_near_dedup, op2_line_dedup, op3_packing, op4_sharding, op6_minhash_near_dedup, op7_warc, op8_benchmark_decontamination, op9_toxicity, op10_license_scan)
+    named = (op1_embedding_near_dedup, op2_line_dedup, op3_packing, op4_sharding, op5_repeat_removal, op6_minhash_near_dedup, op7_warc, op8_benchmark_decontamination, op9_toxicity, op10_license_scan)
     return {f.__name__: f for f in named} | {"pipeline": pipeline}
 
 

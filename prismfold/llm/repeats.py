@@ -178,13 +178,19 @@ def suffix_matches(text: np.ndarray, strings: np.ndarray, doc: np.ndarray, lengt
     k = key[order]
     begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(k)))
-    # Fingerprints that meet by chance would be told apart here.
-    head = np.repeat(strings[order[begin]], size)
-    differ = np.flatnonzero((head != strings[order]) & (np.repeat(size, size) > 1))
-    for c in range(0, len(differ), 1 << 16):
-        p, q = head[differ[c : c + (1 << 16)], None], strings[order[differ[c : c + (1 << 16)]], None]
-        if (text[p + np.arange(length)] != text[q + np.arange(length)]).any():
-            raise ArithmeticError("two strings share a 64-bit fingerprint; use another seed")
+    # Fingerprints that meet by chance would be told apart here. Where a match goes on from the string before,
+    # its last byte is all that is new.
+    head = np.empty_like(strings)
+    head[order] = np.repeat(strings[order[begin]], size)
+    follows = np.zeros(len(strings), bool)
+    follows[1:] = (head[1:] == head[:-1] + 1) & (strings[1:] == strings[:-1] + 1)
+    wrong = (text[head + length - 1] != text[strings + length - 1]).any() if len(strings) else False
+    fresh = np.flatnonzero((head != strings) & ~follows)
+    for c in range(0, len(fresh), 1 << 16):
+        p, q = head[fresh[c : c + (1 << 16)], None], strings[fresh[c : c + (1 << 16)], None]
+        wrong = wrong or (text[p + np.arange(length)] != text[q + np.arange(length)]).any()
+    if wrong:
+        raise ArithmeticError("two strings share a 64-bit fingerprint; use another seed")
     out = np.zeros(len(strings), bool)
     if len(k):
         least = np.minimum.reduceat(doc[order], begin)
@@ -266,22 +272,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def to_results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blob, r in each(batches):
             d = Dictionary(blob, repeated_terms(blob, {m["shard"]: m["mask"] for m in r["masks"] or []}, shards))
-            shard, flags = shard_of(d.trigger, shards), [None] * len(d.names)
-            by = {m["shard"]: m["found"] for m in r["found"] or []}
+            shard, by = shard_of(d.trigger, shards), {m["shard"]: m["found"] for m in r["found"] or []}
+            many = np.array([len(x) - length + 1 for x in d.names], np.int64)
+            first = np.cumsum(many) - many
+            flags = np.zeros(int(many.sum()), bool)
             for s in np.unique(shard):
                 at = np.flatnonzero(shard == s)
-                many = [len(d.names[k]) - length + 1 for k in at]
-                for k, x in zip(at, np.split(unpack(by[int(s)], sum(many)), np.cumsum(many)[:-1]), strict=True):
-                    flags[k] = x
+                m = many[at]
+                flags[np.repeat(first[at] - (np.cumsum(m) - m), m) + np.arange(m.sum())] = unpack(by[int(s)], int(m.sum()))
             removed = np.zeros(len(blob.bytes) + 1, np.int32)
-            for a, m, own, k in zip(d.at.tolist(), d.many.tolist(), d.doc.tolist(), d.of.tolist(), strict=True):
-                if own > d.least[k]:  # the same phrase stands in a smaller document of this blob
-                    removed[a] += 1
-                    removed[a + m + length - 1] -= 1
-                elif flags[k].any():
-                    at = a + np.flatnonzero(flags[k])
-                    removed[at] += 1
-                    np.subtract.at(removed, at + length, 1)
+            later = d.doc > d.least[d.of] if len(d.of) else np.zeros(0, bool)  # the same phrase stands in a smaller document of this blob
+            np.add.at(removed, d.at[later], 1)
+            np.subtract.at(removed, d.at[later] + d.many[later] + length - 1, 1)
+            at, m, of = d.at[~later], d.many[~later], d.of[~later]
+            inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            start = (np.repeat(at, m) + inner)[flags[np.repeat(first[of], m) + inner]]
+            np.add.at(removed, start, 1)
+            np.subtract.at(removed, start + length, 1)
             gone = np.cumsum(removed)[:-1] > 0
             text = blob.bytes
             rows = []

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import binaries, document_words, slices
 
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
+#: A word of fewer training rows cannot reach LEAST_G.
+LEAST_ROWS = 5
 FOLDS = 5
 MOST_WORDS, LEAST_G = 400, 40.0
 #: Bytes of the word beginnings that are features of their own.
@@ -116,6 +118,34 @@ def fit_linear(owner: np.ndarray, index: np.ndarray, terms: np.ndarray, dense: n
     return Linear(terms[chosen], w[:k], w[k:-1], mean, scale, float(w[-1]))
 
 
+def common_rows(texts: Sequence[bytes], step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, word) pairs without words that are too rare to be kept, slice by slice to hold memory down.
+
+    A first pass counts words by 22 bits of their hash; what stays under LEAST_ROWS there is rare for certain.
+    """
+
+    def parts() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for a in range(0, len(texts), step):
+            owner, words, dense = rows_of(texts[a : a + step])
+            order = np.lexsort((words, owner))
+            owner, words = owner[order], words[order]
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (words[1:] != words[:-1])
+            yield a, owner[new], words[new], dense
+
+    bits = np.uint64((1 << 22) - 1)
+    seen = np.zeros(1 << 22, np.int32)
+    for _, _, words, _ in parts():
+        seen += np.bincount((words & bits).astype(np.int64), minlength=1 << 22).astype(np.int32)
+    owners, kept, figures_ = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros((0, 4))]
+    for a, owner, words, dense in parts():
+        go = seen[(words & bits).astype(np.int64)] >= LEAST_ROWS
+        owners.append((owner[go] + a).astype(np.int32))
+        kept.append(words[go])
+        figures_.append(dense)
+    return np.concatenate(owners), np.concatenate(kept), np.concatenate(figures_)
+
+
 @dataclass
 class Chain:
     categories: list[str]
@@ -131,13 +161,11 @@ class Chain:
 
 def fit_chain(texts: Sequence[bytes], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
     """labels: by category, 0, 1 or NaN for each text; folds: a fold number for each."""
-    owner, words, dense = rows_of(texts)
+    owner, words, dense = common_rows(texts)
     terms, index = np.unique(words, return_inverse=True)
-    pairs = np.unique(owner * len(terms) + index)
-    owner, index = pairs // max(1, len(terms)), pairs % max(1, len(terms))
-    common = np.bincount(index, minlength=len(terms)) >= 5  # rarer ones cannot reach LEAST_G
-    keep = common[index]
-    owner, index, terms = owner[keep], (np.cumsum(common) - 1)[index[keep]], terms[common]
+    keep = (np.bincount(index, minlength=len(terms)) >= LEAST_ROWS)[index]
+    terms, index = np.unique(words[keep], return_inverse=True)
+    owner = owner[keep]
     chain, earlier = Chain(list(labels)), []
 
     def part(rows: np.ndarray, x: np.ndarray, fitting: bool) -> tuple[np.ndarray, ...]:

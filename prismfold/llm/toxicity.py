@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import binaries, document_words, slices
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 3000
 #: A word of fewer training rows cannot reach LEAST_G.
 LEAST_ROWS = 5
 FOLDS = 5

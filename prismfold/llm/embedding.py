@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, components, id_key, materialise
 
 COSINE = 0.95
-BLOCK_DIMS, SLICE = 8, 2048
+BLOCK_DIMS, SLICE = 8, 16384
+#: Over the rounding of a single-precision squared distance of block parts of unit vectors.
+MARGIN = 4e-6
 #: Axes of a block on which cells are cut.
 CELL_AXES = 2
 
@@ -136,13 +138,16 @@ def _join_slices(blocks: Blocks, cosine: float):
 
     def pairs(home: dict, other: dict, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo, hi = b * BLOCK_DIMS, (b + 1) * BLOCK_DIMS
+        # One single-precision product gives minus half the squared distances; its rounding is far below the margin.
         x, y = home["r"][:, lo:hi], other["r"][:, lo:hi]
-        for a in range(0, len(x), 512):
-            d = (x[a : a + 512] ** 2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x[a : a + 512] @ y.T
-            near = d <= blocks.budget[b] + 1e-9
+        x = np.column_stack([x, -0.5 * (x**2).sum(axis=1), np.ones(len(x))]).astype(np.float32)
+        y = np.ascontiguousarray(np.column_stack([y, np.ones(len(y)), -0.5 * (y**2).sum(axis=1)]).astype(np.float32).T)
+        least = np.float32(-0.5 * blocks.budget[b] - MARGIN)
+        for a in range(0, len(x), 256):
+            i, j = np.divmod(np.flatnonzero(x[a : a + 256] @ y >= least), y.shape[1])
             # Two home vectors of a cell meet twice, as home and as passer-by: once is enough.
-            near &= other["guest"] | (home["id"][a : a + 512, None] < other["id"])
-            i, j = np.nonzero(near)
+            once = other["guest"][j] | (home["id"][i + a] < other["id"][j])
+            i, j = i[once], j[once]
             for c in range(0, len(i), 1 << 16):
                 p, q = i[c : c + (1 << 16)] + a, j[c : c + (1 << 16)]
                 ok = cosine_of_pairs(home["v"][p], home["n"][p], other["v"][q], other["n"][q]) >= cosine

@@ -9,7 +9,7 @@ Jaccard similarity. Registers go into bands; texts that agree on a band are cand
 Texts with equal words are one class. Candidates are verified by the exact Jaccard similarity of their shingle
 sets. A band's bucket is not expanded into pairs: its members are compared with its leader, the member that
 shares most buckets. A bucket that still joins different components then has its pairs across components compared
-if it holds at most `SMALL` members; a larger one goes on with further leaders, four times as many in each round,
+if it holds at most `SMALL` members; a larger one goes on with further leaders, `MORE` times as many in each round,
 until each pair of a bucket is either in one component or compared.
 So no link between different texts is lost, and a bucket of copies costs one comparison a member.
 
@@ -33,7 +33,7 @@ from .common import NULL_ID, binaries, components, document_words, id_key, mater
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 misses all 45 bands of 7 rows with probability 3e-5; at 0.4 it meets with 0.07.
 BANDS, ROWS = 45, 7
-SMALL = 32
+SMALL, MORE = 32, 16
 _U = np.uint64
 
 
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             tree = materialise(components(links, "near-components"), "near-components")
         rest = large.drop("size").join(leaders.select("bucket", F.col("leader").alias("cls")), ["bucket", "cls"], "left_anti")
         members = rest.join(tree.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "n", "pop", F.coalesce("component", "comp").alias("comp"))
-        most *= 4
+        most *= MORE
     named = classes.select("c1", "c2", "cls")
     if tree is not None:
         named = named.join(tree.withColumnRenamed("node", "cls"), "cls", "left").select("c1", "c2", F.coalesce("component", "cls").alias("class"))

@@ -9,8 +9,10 @@ Jaccard similarity. Registers go into bands; texts that agree on a band are cand
 Texts with equal words are one class. Candidates are verified by the exact Jaccard similarity of their shingle
 sets. A band's bucket is not expanded into pairs: its members are compared with its leader, the member that
 shares most buckets. A bucket that still joins different components then has its pairs across components compared
-if it holds at most `SMALL` members; a larger one goes on with further leaders, `MORE` times as many in each round,
-until each pair of a bucket is either in one component or compared.
+if it holds at most `SMALL` members. A larger one, whose members may share only a passage, is dealt anew by prefix
+filtering: shingles are ordered from rare to frequent, and two sets of Jaccard similarity t share one of the first
+n - ceil(t n) + 1 of each. These shingles are the new buckets; large ones among them go on with further leaders,
+`MORE` times as many in each round, until each pair of a bucket is either in one component or compared.
 So no link between different texts is lost, and a bucket of copies costs one comparison a member.
 
 Null text: a class of its own, linked with nothing. Texts without words: equal ones are one class, no other
@@ -33,7 +35,7 @@ from .common import NULL_ID, binaries, components, document_words, id_key, mater
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 misses all 45 bands of 7 rows with probability 3e-5; at 0.4 it meets with 0.07.
 BANDS, ROWS = 45, 7
-SMALL, MORE = 32, 16
+SMALL, MORE = 32, 4
 _U = np.uint64
 
 
@@ -136,6 +138,19 @@ def _top(members: DataFrame, most: int) -> DataFrame:
     return few.select("bucket", F.col("cls").alias("leader"), F.col("n").alias("ln"), F.col("comp").alias("lc"))
 
 
+def by_prefix(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The members of large buckets, with the shingles of their prefixes as buckets; shingles of one member are left out."""
+    one = members.select("cls", "n", "pop", "comp").distinct()
+    whole = one.select("cls").join(sets, "cls").select("cls", F.size("hashes").alias("m"), F.xxhash64("hashes").alias("s"), "hashes")
+    tokens = materialise(whole.select("cls", "m", "s", F.explode("hashes").alias("h")), "prefix-shingles")
+    often = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = tokens.join(often, "h").groupBy("cls", "m", "s").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    first = F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9) + 1
+    room = F.greatest(first - (F.col("m") - F.size("t")), F.lit(0)).cast("int")  # those of one member come before all others
+    prefix = one.join(ordered, "cls").select(F.explode(F.slice("t", F.lit(1), room)).alias("x"), "cls", "n", "pop", "comp")
+    return prefix.select(F.col("x.h").alias("bucket"), "cls", "n", "pop", "comp")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
     """doc_id, class_id (the smallest id that links reach) and kept (whether it is that id) of each document."""
     signed = materialise(signatures(docs, id_col), "signatures")
@@ -150,12 +165,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     sets = materialise(shingle_sets(docs, popular, id_col), "shingle-sets")
     links = tried = tree = None
     ratio = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
-    most = 1
+    most, dealt = 1, False
     while True:
         mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
         members = materialise(members.join(mixed, "bucket"), "bucket-members")
         if members.isEmpty():
             break
+        if tree is not None and not dealt:
+            dealt = True
+            few = members.where(F.col("size") <= SMALL).select("bucket", "cls", "n", "pop", "comp")
+            members = materialise(few.union(by_prefix(members.where(F.col("size") > SMALL), sets, similarity)), "bucket-members")
+            continue
         large = members if tree is None else members.where(F.col("size") > SMALL)
         leaders = _top(large, most)
         pairs = large.join(leaders, "bucket").where((F.col("comp") != F.col("lc")) & ratio("n", "ln")).select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))

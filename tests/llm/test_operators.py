@@ -125,6 +125,15 @@ def test_near_duplicates(docs, rows, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_share_a_passage(spark):
+    passage = [f"p{i}" for i in range(100)]
+    own = [passage + [f"u{d}x{i}" for i in range(16)] for d in range(200)]
+    near = [own[d][:-1] + ["other"] for d in range(0, 200, 10)]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(own + near)], "doc_id long, text string")
+    out = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame).collect()}
+    assert out == {d: d if d < 200 else 10 * (d - 200) for d in range(220)}
+
+
 def test_prob_minhash_estimates():
     rng = np.random.default_rng(2)
     h = rng.integers(1, 2**62, 300).astype(np.uint64)

@@ -1,10 +1,11 @@
-"""MinHash near-dedup with ProbMinHash over weighted shingles.
+"""MinHash near-dedup with ProbMinHash over shingles.
 
-A text is its five-word shingles, weighted by 1 + ln of how often they occur. Each shingle is a Poisson process whose rate
-is its weight; its arrivals fall on random registers, and a register keeps the shingle that came first. Arrivals
-are made in order and a shingle stops once its next one is later than every register of its text, so long texts
-cost little more than their shingles. The share of registers on which two texts agree estimates their probability
-Jaccard similarity. Registers go into bands; texts that agree on a band are candidates.
+A text is the set of its five-word shingles. Each shingle is a Poisson process whose rate is its weight; its
+arrivals fall on random registers, and a register keeps the shingle that came first. Arrivals are made in order
+and a shingle stops once its next one is later than every register of its text, so long texts cost little more
+than their shingles. All weights are 1, however often a shingle occurs: links are defined by the plain Jaccard
+similarity, and only then is it the probability that a register agrees. Registers go into bands; texts that agree
+on a band are candidates.
 
 Texts with equal words are one class. Candidates are verified by the exact Jaccard similarity of their shingle
 sets. A band's bucket is not expanded into pairs: its members are compared with its leader, the member that
@@ -80,9 +81,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", bands: int = BANDS, rows
         for b in slices(batches, "__text"):
             texts = binaries(b.column(1))
             words, bounds = document_words(texts)
-            h, owner, count = weighted_shingles(words, bounds)
+            h, owner, _ = weighted_shingles(words, bounds)
             size = np.bincount(owner, minlength=len(texts))
-            who = prob_minhash(h, 1 + np.log(count), owner, len(texts), bands * rows)
+            who = prob_minhash(h, np.ones(len(h)), owner, len(texts), bands * rows)
             key = np.zeros((len(texts), bands), np.uint64)
             for r in range(rows):
                 key = mix(key ^ who[:, r::rows]) + _U(r)

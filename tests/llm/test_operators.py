@@ -134,6 +134,15 @@ def test_near_duplicates_share_a_passage(spark):
     assert out == {d: d if d < 200 else 10 * (d - 200) for d in range(220)}
 
 
+def test_near_duplicates_with_repeated_shingles(spark):
+    texts = []
+    for d in range(40):
+        body = [f"b{d}x{i}" for i in range(200)]
+        texts += [" ".join(body + [f"{own}{d}x{i}" for i in range(16)] * 20) for own in "uv"]  # 196 shared, 20 own
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame).collect()} == {d: d - d % 2 for d in range(80)}
+
+
 def test_prob_minhash_estimates():
     rng = np.random.default_rng(2)
     h = rng.integers(1, 2**62, 300).astype(np.uint64)

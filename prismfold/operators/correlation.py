@@ -6,15 +6,20 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import t_two_sided
+from ..llm.common import materialise
 from ..spectra import Spectra, nearest, take
 from .reduction import gram
 
 #: Half of exp(-d/2), the density of two degrees of freedom, is under 0.1 beyond this distance.
 PAIR_LIMIT = 2 * log(5)
+#: Ranks of the smallest block and Chebyshev moments of a block in two_dimensional.
+LEAF, FAR = 512, 20
 
 
 def pair_outliers(s: Spectra, p: float = 0.1) -> DataFrame:
@@ -84,30 +89,84 @@ def local_network(s: Spectra, annotations: list[tuple[float, str]], threshold: f
     return e.join(F.broadcast(one), "wave_1").join(F.broadcast(two), "wave_2")
 
 
-def two_dimensional(s: Spectra) -> DataFrame:
-    """(i, j, synchronous, asynchronous): the perturbation runs along spectrum_id.
-
-    The synchronous part is the covariance. The asynchronous part needs all pairs of spectra, weighted by
-    1/(pi (k - j)); group means in id order, at most 512 of them, stand for long series.
+def _blocks(s: Spectra, blocks: int) -> tuple[int, int, DataFrame]:
+    """Rows, block size and (g, k, v): each spectrum with its rank k along spectrum_id, in its block g and in the one before."""
+    y = s.y.cast("array<double>")
+    sorted_ = s.df.where(s.y.isNotNull()).select("spectrum_id", y.alias("v")).orderBy("spectrum_id", "v")
+    # Written, so that places within sorted partitions and the partitions' sizes belong to one and the same run.
+    placed = materialise(sorted_.select(F.monotonically_increasing_id().alias("at"), "v"), "ranked-spectra")
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("part")).count().orderBy("part").collect()
+    m = sum(r["count"] for r in sizes)
+    size = max(LEAF, -(-m // blocks))
+    first, seen = [], 0
+    for r in sizes:
+        first.append((r["part"], seen))
+        seen += r["count"]
+    starts = s.df.sparkSession.createDataFrame(first, "part long, first long")
+    rank = (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("k")
+    ranked = placed.withColumn("part", part).join(F.broadcast(starts), "part").select(rank, "v")
+    g = F.floor(F.col("k") / size)
+    return m, size, ranked.select(F.explode(F.when(g > 0, F.array(g, g - 1)).otherwise(F.array(g))).alias("g"), "k", "v")
+
+
+def _nodes(n: int) -> np.ndarray:
+    return np.cos((2 * np.arange(n) + 1) * np.pi / (2 * n))
+
+
+def _interpolate(at: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Values at `at` of the Lagrange polynomials of Chebyshev nodes: sum of T_i(at) T_i(node) times 2/n, 1/n for i = 0."""
+    n = len(nodes)
+    t = lambda x: np.cos(np.outer(np.arccos(np.clip(x, -1, 1)), np.arange(n)))
+    w = np.full(n, 2 / n)
+    w[0] = 1 / n
+    return (t(at) * w) @ t(nodes).T
+
+
+def _later(z: np.ndarray) -> np.ndarray:
+    """Sum over later rows k of z_k / (pi (k - j)) for each row j, by FFT."""
+    n = len(z)
+    size = 1 << (2 * n - 1).bit_length()
+    c = np.zeros(n)
+    c[1:] = 1 / (np.pi * np.arange(1, n))
+    kernel = np.conj(np.fft.rfft(c, size))[:, None]
+    return np.hstack([np.fft.irfft(np.fft.rfft(z[:, a : a + 16], size, axis=0) * kernel, size, axis=0)[:n] for a in range(0, z.shape[1], 16)])
+
+
+def two_dimensional(s: Spectra, blocks: int = 512) -> DataFrame:
+    """(i, j, synchronous, asynchronous): the perturbation runs along spectrum_id, by rank.
+
+    The synchronous part is the covariance. The asynchronous part takes all pairs of spectra, weighted by
+    1/(pi (k - j)) for ranks j and k. Ranks are cut into blocks. Pairs in a block or in neighbouring blocks are
+    summed by FFT in one task a block. Blocks further apart see each other through `FAR` Chebyshev moments a
+    block: their weight is smooth there, and the error, below 1e-14 of the weight, is that of rounding.
     """
-    count = s.df.count()
-    data, y = s.df, s.stage
-    if count > 512:
-        step = -(-count // 512)
-        rank = s.df.select("spectrum_id", F.col(y).alias("v")).withColumn("b", F.floor(F.col("spectrum_id") / step))
-        long = rank.select("b", F.posexplode("v").alias("pos", "v")).groupBy("b", "pos").agg(F.avg("v").alias("v"))
-        data = long.groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias(y)).withColumnRenamed("b", "spectrum_id")
-    x = np.array([r[0] for r in data.orderBy("spectrum_id").select(y).limit(4096).collect()])
-    x = x - x.mean(0)
-    k = np.arange(len(x))
-    gap = k[None, :] - k[:, None]
-    noda = np.where(gap == 0, 0.0, 1 / (np.pi * np.where(gap == 0, 1, gap)))
     n, sums, cross = gram(s.df, s.stage)
     sync = (cross - np.outer(sums, sums) / n) / (n - 1)
-    asynchronous = x.T @ noda @ x / (len(x) - 1)
-    p = len(s.axis)
-    rows = [(i, j, float(sync[i, j]), float(asynchronous[i, j])) for i in range(p) for j in range(p)]
-    return s.df.sparkSession.createDataFrame(rows, "i int, j int, synchronous double, asynchronous double")
+    m, size, rows = _blocks(s, blocks)
+    mean, p, nodes = sums / n, len(s.axis), _nodes(FAR)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        g = table.column("g")[0].as_py()
+        k = table.column("k").to_numpy()
+        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(k), p) - mean
+        own = int(np.searchsorted(k, (g + 1) * size))
+        near = x[:own].T @ _later(x)[:own]
+        moments = _interpolate((k[:own] - g * size + 0.5) / size * 2 - 1, nodes).T @ x[:own]
+        return pa.table({"g": pa.array([-1] * p + [g] * FAR, pa.int64()), "i": pa.array([*range(p), *range(FAR)], pa.int32()), "row": pa.array([*near.tolist(), *moments.tolist()], pa.list_(pa.float64()))})
+
+    parts = rows.groupBy("g").applyInArrow(run, "g long, i int, row array<double>")
+    got = parts.groupBy("g", "i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).orderBy("g", "i").collect()
+    got = np.array([r["row"].toArray() for r in got])
+    half, moments = got[:p], got[p:].reshape(-1, FAR, p)
+    # A distance of d blocks between the nodes of two blocks, in rows.
+    apart = lambda d: 1 / (np.pi * size * (d + (nodes[None, :] - nodes[:, None]) / 2))
+    for d in range(2, len(moments)):
+        half = half + np.tensordot(moments[:-d], apart(d) @ moments[d:], ([0, 1], [0, 1]))
+    asynchronous = (half - half.T) / (m - 1)
+    out = [(i, j, float(sync[i, j]), float(asynchronous[i, j])) for i in range(p) for j in range(p)]
+    return s.df.sparkSession.createDataFrame(out, "i int, j int, synchronous double, asynchronous double")
 
 
 def pair_table(df: DataFrame, value: str = "value") -> DataFrame:

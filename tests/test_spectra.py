@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismfold.functions import distributions as dist
-from prismfold.operators import cluster, decompose, markers, models, preprocess, quality, reduction, stats
+from prismfold.operators import cluster, correlation, decompose, markers, models, preprocess, quality, reduction, stats
 from prismfold.sources import files
 from prismfold.spectra import Spectra
 
@@ -156,3 +156,16 @@ def test_stream(spark, tmp_path, made):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT * FROM scored").count() == 40
+
+
+@pytest.mark.parametrize(("rows", "gap"), [(300, 1), (1700, 1), (4500, 10**6)])
+def test_two_dimensional_takes_all_pairs(spark, rows, gap):
+    rng = np.random.default_rng(8)
+    ids = np.cumsum(rng.integers(1, gap + 1, rows)).tolist()
+    x = rng.normal(size=(rows, 4)).cumsum(axis=0) * 0.1 + rng.normal(size=(rows, 4))
+    frame = spark.createDataFrame([(i, "a", v.tolist()) for i, v in zip(ids, x, strict=True)], "spectrum_id long, group string, raw_data array<double>").repartition(5)
+    apart = np.arange(rows)[None, :] - np.arange(rows)[:, None]
+    noda = np.where(apart == 0, 0.0, 1 / (np.pi * np.where(apart == 0, 1, apart)))
+    want = (x - x.mean(0)).T @ noda @ (x - x.mean(0)) / (rows - 1)
+    got = correlation.two_dimensional(Spectra.of(frame, range(4))).collect()
+    assert len(got) == 16 and all(abs(r["asynchronous"] - want[r["i"], r["j"]]) < 1e-11 for r in got)

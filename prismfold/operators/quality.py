@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_quantile, f_cdf
+from ..llm.common import materialise
 from ..spectra import Spectra, literal, mean, positions, sd, take, total
 from .preprocess import bubble_peaks
 from .reduction import pca
@@ -163,42 +164,140 @@ def icod(s: Spectra, var_tol: float = 1.0, rounds: int = 100, run: int = 3) -> D
     return data.select("spectrum_id", F.col("good").alias("quality"))
 
 
-def fast_mcd(x: np.ndarray, alpha: float = 0.6, starts: int = 10, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of the most concentrated share of rows, reweighted once."""
-    n, p = x.shape
+def _squared(x: np.ndarray, m: np.ndarray, inv: np.ndarray) -> np.ndarray:
+    return np.maximum(np.einsum("ij,jk,ik->i", x - m, inv, x - m), 0) + 0.0
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Rows, sums and cross products as one flat row."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    return (x.T @ x).reshape(-1)
+
+
+def _mean_cov(flat: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    g = flat.reshape(p + 1, p + 1)
+    m = g[0, 1:] / g[0, 0]
+    return m, (g[1:, 1:] - g[0, 0] * np.outer(m, m)) / (g[0, 0] - 1)
+
+
+def _scan(scores: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(x) -> columns, for the batches of scores."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in fn(x)], names=[f.split()[0] for f in schema.split(", ")])
+
+    return scores.select("x").mapInArrow(run, schema)
+
+
+def nearest_share(scores: DataFrame, centres: list[tuple[np.ndarray, np.ndarray, int]], most: int = 20_000) -> list[tuple[float, np.ndarray]]:
+    """For each (mean, inverse, h): the h-th smallest distance over all rows, and the sums of the h nearest rows.
+
+    Distances are found by the bits of their doubles, sixteen a pass, until the rows of the last bin are few enough to
+    be fetched or are equal. Of rows at equal distance each counts in part.
+    """
+    low, shift = [0] * len(centres), [64] * len(centres)
+    before, held = [0] * len(centres), [most + 1] * len(centres)
+    while todo := [i for i in range(len(centres)) if held[i] > most and shift[i] > 0]:
+        ask = [(i, *centres[i][:2], low[i], shift[i]) for i in todo]
+
+        def count(x, ask=ask):
+            who, bins, n = [], [], []
+            for i, m, inv, lo, sh in ask:
+                u = _squared(x, m, inv).view(np.uint64)
+                if sh < 64:
+                    u = u[u >> np.uint64(sh) == np.uint64(lo >> sh)]
+                c = np.bincount((u >> np.uint64(sh - 16) & np.uint64(0xFFFF)).astype(np.int64), minlength=1)
+                at = np.flatnonzero(c)
+                who.append(np.full(len(at), i, np.int32)), bins.append(at), n.append(c[at])
+            return np.concatenate(who), np.concatenate(bins), np.concatenate(n)
+
+        found: dict[int, list] = {i: [] for i in todo}
+        for r in _scan(scores, count, "i int, bin long, n long").groupBy("i", "bin").agg(F.sum("n").alias("n")).collect():
+            found[r["i"]].append((r["bin"], r["n"]))
+        for i in todo:
+            for at, n in sorted(found[i]):
+                if before[i] + n >= centres[i][2]:
+                    shift[i] -= 16
+                    low[i] |= at << shift[i]
+                    held[i] = n
+                    break
+                before[i] += n
+    ask = [(i, *centres[i][:2], low[i], shift[i], held[i] <= most) for i in range(len(centres))]
+
+    def fetch(x):
+        who, kind, rows = [], [], []
+        for i, m, inv, lo, sh, few in ask:
+            d = _squared(x, m, inv)
+            u = d.view(np.uint64)
+            at = u >> np.uint64(sh) == np.uint64(lo >> sh)
+            rows.append(_sums(x[u < np.uint64(lo)])), kind.append(0)
+            if few:
+                rows += list(np.hstack([d[at][:, None], x[at]]))
+                kind += [1] * int(at.sum())
+            else:
+                rows.append(_sums(x[at])), kind.append(2)
+            who += [i] * (len(rows) - len(who))
+        return np.array(who, np.int32), np.array(kind, np.int32), [r.tolist() for r in rows]
+
+    got = _scan(scores, fetch, "i int, kind int, row array<double>").collect()
+    out = []
+    for i, (_, _, h) in enumerate(centres):
+        rows = [[np.array(r["row"]) for r in got if r["i"] == i and r["kind"] == k] for k in range(3)]
+        total_, need = np.sum(rows[0], axis=0), h - before[i]
+        if rows[2]:
+            equal = np.sum(rows[2], axis=0)
+            out.append((float(np.uint64(low[i]).view(np.float64)), total_ + equal * (need / equal[0])))
+        else:
+            last = np.array(rows[1])
+            d = np.sort(last[:, 0])[need - 1]
+            inside, ties = last[last[:, 0] < d], last[last[:, 0] == d]
+            out.append((float(d), total_ + _sums(inside[:, 1:]) + _sums(ties[:, 1:]) * ((need - len(inside)) / len(ties))))
+    return out
+
+
+def fast_mcd(scores: DataFrame, p: int, alpha: float = 0.6, starts: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the most concentrated share of all rows, reweighted once.
+
+    Only the first centres come from few rows; each concentration step runs over all rows, for all starts at once.
+    """
+    n = scores.count()
     h = int(np.ceil(alpha * n))
-    rng, best = np.random.default_rng(seed), (np.inf, None)
-    for _ in range(starts):
-        use = rng.choice(n, min(n, p + 1), replace=False)
-        for _ in range(30):
-            m, c = x[use].mean(axis=0), np.cov(x[use].T) + 1e-9 * np.eye(p)
-            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-            then = np.argsort(d, kind="stable")[:h]
-            if set(then) == set(use):
-                break
-            use = then
-        det = np.linalg.det(np.cov(x[use].T))
-        if det < best[0]:
-            best = (det, use)
-    m, c = x[best[1]].mean(axis=0), np.cov(x[best[1]].T)
-    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    c = c * np.median(d) / chi2_quantile(0.5, p)
-    inside = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) <= chi2_quantile(0.95, p)
-    return x[inside].mean(axis=0), np.cov(x[inside].T)
-
-
-def mcd(s: Spectra, alpha: float = 0.01, sample_rows: int = 20_000) -> DataFrame:
-    """Robust distances on five scores. The estimate takes at most `sample_rows` rows, by hash; all rows are judged."""
-    scores = pca(s, min(20, len(s.axis))).df.select("spectrum_id", F.slice("PCA", 1, 5).alias("x"))
-    sample = scores.orderBy(F.xxhash64("spectrum_id")).limit(sample_rows).collect()
-    x = np.array([r["x"] for r in sample])
-    m, c = fast_mcd(x)
+    first = np.array([r["x"] for r in scores.orderBy(F.xxhash64("spectrum_id"), "spectrum_id").limit(starts * (p + 1)).collect()])
+    state = {k: _mean_cov(_sums(part), p) for k in range(starts) if len(part := first[k * (p + 1) : (k + 1) * (p + 1)]) > 1}
+    last, best = dict.fromkeys(state, np.inf), (np.inf, None)
+    for _ in range(30):
+        near = nearest_share(scores, [(m, np.linalg.inv(c + 1e-9 * np.eye(p)), h) for m, c in state.values()])
+        state = {k: _mean_cov(sums, p) for k, (_, sums) in zip(state, near, strict=True)}
+        det = {k: np.linalg.det(c) for k, (_, c) in state.items()}
+        best = min([best, *((det[k], state[k]) for k in state)], key=lambda b: b[0])
+        state = {k: v for k, v in state.items() if det[k] < last[k] * (1 - 1e-12)}
+        last = det
+        if not state:
+            break
+    m, c = best[1]
+    inv = np.linalg.inv(c)
+    middle = np.mean([d for d, _ in nearest_share(scores, [(m, inv, (n + 1) // 2), (m, inv, n // 2 + 1)])])
+    inv = inv / (middle / chi2_quantile(0.5, p))
+    limit = chi2_quantile(0.95, p)
+    inside = _scan(scores, lambda x: ([_sums(x[_squared(x, m, inv) <= limit]).tolist()],), "row array<double>").collect()
+    return _mean_cov(np.sum([r["row"] for r in inside], axis=0), p)
+
+
+def mcd(s: Spectra, alpha: float = 0.01) -> DataFrame:
+    """Robust distances on five scores; the estimate takes all rows."""
+    p = min(5, len(s.axis))
+    scored = pca(s, min(20, len(s.axis))).df.select("spectrum_id", F.slice("PCA", 1, 5).alias("x"))
+    scores = materialise(scored, "scores")
+    m, c = fast_mcd(scores.where("x IS NOT NULL"), p)
     inv = np.linalg.inv(c)
     diff = F.zip_with("x", literal(m), lambda a, b: a - b)
     rows = F.array(*[literal(r) for r in inv])
     dot = lambda a, b: total(F.zip_with(a, b, lambda p, q: p * q))
     d = dot(F.transform(rows, lambda r: dot(r, diff)), diff)
-    return scores.select("spectrum_id", d.alias("distance"), (d <= chi2_quantile(1 - alpha, x.shape[1])).alias("quality"))
+    return scores.select("spectrum_id", d.alias("distance"), (d <= chi2_quantile(1 - alpha, p)).alias("quality"))
 
 
 def t2_p_value(f: float, n: int) -> float:

@@ -169,3 +169,24 @@ def test_two_dimensional_takes_all_pairs(spark, rows, gap):
     want = (x - x.mean(0)).T @ noda @ (x - x.mean(0)) / (rows - 1)
     got = correlation.two_dimensional(Spectra.of(frame, range(4))).collect()
     assert len(got) == 16 and all(abs(r["asynchronous"] - want[r["i"], r["j"]]) < 1e-11 for r in got)
+
+
+@pytest.mark.parametrize("rows", [900, 21_000])
+def test_mcd_takes_all_rows(spark, rows):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(rows, 6)) * [5, 4, 3, 2, 1, 0.5] + (rng.random(rows) < 0.2)[:, None] * 6
+    frame = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "spectrum_id long, group string, raw_data array<double>").repartition(3)
+    s = Spectra.of(frame, range(6))
+    scored = reduction.pca(s, 6).df.select("spectrum_id", F.slice("PCA", 1, 5).alias("x"))
+    first = [r["spectrum_id"] for r in scored.orderBy(F.xxhash64("spectrum_id")).limit(60).collect()]
+    z = matrix(scored, "x")
+    far = lambda m, c: np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m)
+    best = (np.inf,)
+    for k in range(10):
+        use = first[6 * k : 6 * k + 6]
+        for _ in range(30):
+            use = np.argsort(far(z[use].mean(0), np.cov(z[use].T) + 1e-9 * np.eye(5)), kind="stable")[: int(np.ceil(0.6 * rows))]
+            best = min(best, (np.linalg.det(np.cov(z[use].T)), z[use].mean(0), np.cov(z[use].T)), key=lambda b: b[0])
+    d = far(*best[1:])
+    inside = z[d / np.median(d) * dist.chi2_quantile(0.5, 5) <= dist.chi2_quantile(0.95, 5)]
+    assert np.allclose(matrix(quality.mcd(s), "distance"), far(inside.mean(0), np.cov(inside.T)), rtol=1e-6)

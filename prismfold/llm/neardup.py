@@ -18,7 +18,7 @@ So no link between different texts is lost, and a bucket of copies costs one com
 
 Null text: a class of its own, linked with nothing. Texts without words: equal ones are one class, no other
 links. Texts of one to four words: one shingle. Null ids count as the smallest. Rows that share an id and text
-are copies. Extra columns are ignored, or kept by drop_near_duplicates.
+are copies; different texts that share an id are not linked by it. Extra columns are ignored, or kept by drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -74,8 +74,8 @@ def weighted_shingles(words: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -
     return h[at], owner[at], np.diff(np.append(at, len(h)))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(k, c1, c2, n, bands): id, key of the words, number of distinct shingles, band keys."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", bands: int = BANDS, rows: int = ROWS, row_col: str | None = None) -> DataFrame:
+    """(k, row, t, c1, c2, n, bands): id, number of the row, hash of the text, key of the words, number of distinct shingles, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
@@ -99,13 +99,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", bands: int = BANDS, rows
                 name = b"text" + texts[d] if there[d] else b"null%d" % b.column(0)[int(d)].as_py()
                 c[0][d], c[1][d] = np.frombuffer(hashlib.blake2b(name, digest_size=16).digest(), np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32), pa.array(key[size > 0].reshape(-1).view(np.int64)))
-            yield pa.record_batch([b.column(0), pa.array(c[0]), pa.array(c[1]), pa.array(size, pa.int64()), lists], names=["k", "c1", "c2", "n", "bands"])
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(c[0]), pa.array(c[1]), pa.array(size, pa.int64()), lists], names=["k", "row", "t", "c1", "c2", "n", "bands"])
 
-    return docs.select(id_key(id_col).alias("k"), F.col("text").alias("__text")).mapInArrow(run, "k long, c1 long, c2 long, n long, bands array<long>")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return docs.select(id_key(id_col).alias("k"), F.col("text").alias("__text"), row.alias("row"), F.xxhash64("text").alias("t")).mapInArrow(run, "k long, row long, t long, c1 long, c2 long, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(cls, c1, hashes): the distinct shingles of the wanted classes (cls, c1, c2), from the document each is named by."""
+    """(cls, hashes): the distinct shingles of the wanted classes (cls, k, t), from a document with this id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
@@ -114,8 +115,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id") ->
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int32)
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64)))], names=["cls", "hashes"])
 
-    text = docs.select(id_key(id_col).alias("cls"), F.col("text").alias("__text"))
-    found = text.join(wanted.select("cls").hint("shuffle_hash"), "cls", "left_semi").select("cls", "__text")
+    text = docs.select(id_key(id_col).alias("k"), F.xxhash64("text").alias("t"), F.col("text").alias("__text"))
+    # Repeated rows, alike in id and text, give a class its set more than once.
+    found = text.join(wanted.select("cls", "k", "t").hint("shuffle_hash"), ["k", "t"]).select("cls", "__text")
     return found.mapInArrow(run, "cls long, hashes array<long>")
 
 
@@ -145,25 +147,25 @@ def by_prefix(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     whole = one.select("cls").join(sets, "cls").select("cls", F.size("hashes").alias("m"), F.xxhash64("hashes").alias("s"), "hashes")
     tokens = materialise(whole.select("cls", "m", "s", F.explode("hashes").alias("h")), "prefix-shingles")
     often = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = tokens.join(often, "h").groupBy("cls", "m", "s").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    ordered = tokens.join(often, "h").groupBy("cls", "m", "s").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("t"))
     first = F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9) + 1
     room = F.greatest(first - (F.col("m") - F.size("t")), F.lit(0)).cast("int")  # those of one member come before all others
     prefix = one.join(ordered, "cls").select(F.explode(F.slice("t", F.lit(1), room)).alias("x"), "cls", "n", "pop", "comp")
     return prefix.select(F.col("x.h").alias("bucket"), "cls", "n", "pop", "comp")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, class_id (the smallest id that links reach) and kept (whether it is that id) of each document."""
-    signed = materialise(signatures(docs, id_col), "signatures")
-    classes = signed.groupBy("c1", "c2").agg(F.min("k").alias("cls"), F.min("n").alias("n"), F.min_by("bands", "k").alias("bands"))
-    # Two different texts may share an id; only one of them can be fetched by it, so classes are named by id where
-    # ids are unique, as they should be, and the others' links follow from the equal id.
+def _near_rows(docs: DataFrame, similarity: float, id_col: str, row_col: str | None = None) -> DataFrame:
+    """k, class, row and kept of each document; one row of each component is kept, that with the smallest id and number."""
+    signed = materialise(signatures(docs, id_col, row_col=row_col), "signatures")
+    # Classes are numbered, and fetched by id and text: ids may be null or shared by different texts.
+    classes = signed.groupBy("c1", "c2").agg(F.min(F.struct("k", "row")).alias("least"), F.min_by("t", F.struct("k", "row")).alias("t"), F.min("n").alias("n"), F.min_by("bands", F.struct("k", "row")).alias("bands"))
+    classes = materialise(classes.select("c1", "c2", "least", F.col("least.row").alias("cls"), F.col("least.k").alias("k"), "t", "n", "bands"), "classes")
     exploded = classes.select("cls", "n", F.explode("bands").alias("bucket"))
     full = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialise(exploded.join(full, "bucket"), "bucket-members")
     popular = shared.groupBy("cls").agg(F.sum("size").alias("pop"))
     members = materialise(shared.join(popular, "cls").select("bucket", "cls", "n", "pop", F.col("cls").alias("comp")), "bucket-members")
-    sets = materialise(shingle_sets(docs, popular, id_col), "shingle-sets")
+    sets = materialise(shingle_sets(docs, classes.join(popular, "cls", "left_semi"), id_col), "shingle-sets")
     links = tried = tree = None
     ratio = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
     most, dealt = 1, False
@@ -194,17 +196,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         rest = large.drop("size").join(leaders.select("bucket", F.col("leader").alias("cls")), ["bucket", "cls"], "left_anti")
         members = rest.join(tree.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "n", "pop", F.coalesce("component", "comp").alias("comp"))
         most *= MORE
-    named = classes.select("c1", "c2", "cls")
+    named = classes.select("c1", "c2", "least", "cls")
     if tree is not None:
-        named = named.join(tree.withColumnRenamed("node", "cls"), "cls", "left").select("c1", "c2", F.coalesce("component", "cls").alias("class"))
+        named = named.join(tree.withColumnRenamed("node", "cls"), "cls", "left").select("c1", "c2", "least", F.coalesce("component", "cls").alias("cls"))
+        first = named.groupBy("cls").agg(F.min("least").alias("first"))
+        named = named.join(first, "cls").select("c1", "c2", "first")
     else:
-        named = named.withColumnRenamed("cls", "class")
+        named = named.select("c1", "c2", F.col("least").alias("first"))
     out = signed.join(named, ["c1", "c2"])
+    return out.select("k", F.col("first.k").alias("class"), "row", (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, class_id (the smallest id that links reach) and kept (one row of each class, of that id) of each document."""
     back = lambda c, to: F.when(F.col(c) != NULL_ID, F.col(c)).alias(to)
-    return out.select(back("k", "doc_id"), back("class", "class_id"), (F.col("k") == F.col("class")).alias("kept"))
+    return _near_rows(docs, similarity, id_col).select(back("k", "doc_id"), back("class", "class_id"), "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
-    """The documents, all columns, of which one in each class stays: that with the smallest id."""
-    gone = near_duplicates(docs, similarity, id_col).where("NOT kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__gone")).distinct()
-    return docs.withColumn("__gone", id_key(id_col)).join(gone, "__gone", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents, all columns, of which one row in each class stays: one with the smallest id."""
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    gone = _near_rows(numbered, similarity, id_col, row).where("NOT kept").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -143,6 +143,17 @@ def test_near_duplicates_with_repeated_shingles(spark):
     assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame).collect()} == {d: d - d % 2 for d in range(80)}
 
 
+def test_near_duplicates_keep_one_row(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    data = [(1, text("a")), (1, text("a")), (None, text("b")), (None, text("b") + " end"), (None, text("c")), (3, text("d")), (7, text("d") + " end"), (7, text("e"))]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    kept = sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in neardup.drop_near_duplicates(frame).collect())
+    assert kept == [(0, "b0"), (0, "c0"), (1, "a0"), (3, "d0"), (7, "e0")]
+    out = neardup.near_duplicates(frame)
+    assert out.count() == 8 and out.where("kept").count() == 5
+    assert sorted(r["class_id"] for r in out.where("doc_id = 7").collect()) == [3, 7]
+
+
 def test_prob_minhash_estimates():
     rng = np.random.default_rng(2)
     h = rng.integers(1, 2**62, 300).astype(np.uint64)

@@ -147,7 +147,9 @@ def by_prefix(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     whole = one.select("cls").join(sets, "cls").select("cls", F.size("hashes").alias("m"), F.xxhash64("hashes").alias("s"), "hashes")
     tokens = materialise(whole.select("cls", "m", "s", F.explode("hashes").alias("h")), "prefix-shingles")
     often = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = tokens.join(often, "h").groupBy("cls", "m", "s").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("t"))
+    ordered = tokens.join(often, "h").groupBy("cls", "m", "s").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    # The set of a class with repeated rows comes more than once: equal neighbours count as one.
+    ordered = ordered.withColumn("t", F.filter("t", lambda x, i: (i == 0) | (x != F.get("t", i - 1))))
     first = F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9) + 1
     room = F.greatest(first - (F.col("m") - F.size("t")), F.lit(0)).cast("int")  # those of one member come before all others
     prefix = one.join(ordered, "cls").select(F.explode(F.slice("t", F.lit(1), room)).alias("x"), "cls", "n", "pop", "comp")

@@ -7,14 +7,12 @@ than their shingles. All weights are 1, however often a shingle occurs: links ar
 similarity, and only then is it the probability that a register agrees. Registers go into bands; texts that agree
 on a band are candidates.
 
-Texts with equal words are one class. Candidates are verified by the exact Jaccard similarity of their shingle
-sets. A band's bucket is not expanded into pairs: its members are compared with its leader, the member that
-shares most buckets. A bucket that still joins different components then has its pairs across components compared
-if it holds at most `SMALL` members. A larger one, whose members may share only a passage, is dealt anew by prefix
-filtering: shingles are ordered from rare to frequent, and two sets of Jaccard similarity t share one of the first
-n - ceil(t n) + 1 of each. These shingles are the new buckets; large ones among them go on with further leaders,
-`MORE` times as many in each round, until each pair of a bucket is either in one component or compared.
-So no link between different texts is lost, and a bucket of copies costs one comparison a member.
+Texts with equal words are one class. Candidates are verified by the exact Jaccard similarity of their sets of
+64-bit shingle hashes. A band's bucket is not expanded into pairs: its members are first compared with its leader,
+the member that shares most buckets. A bucket of at most `SMALL` members that still joins different components then
+has its other pairs compared. The members of larger such buckets, which may share only a passage, meet by an exact
+prefix join (`prefix_pairs`). So every pair that agrees on a band is in one component, compared, or known to be too
+different, and a bucket of copies costs one comparison a member.
 
 Null text: a class of its own, linked with nothing. Texts without words: equal ones are one class, no other
 links. Texts of one to four words: one shingle. Null ids count as the smallest. Rows that share an id and text
@@ -24,11 +22,12 @@ are copies; different texts that share an id are not linked by it. Extra columns
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, binaries, components, document_words, id_key, materialise, mix, shingles, slices
@@ -36,7 +35,8 @@ from .common import NULL_ID, binaries, components, document_words, id_key, mater
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 misses all 45 bands of 7 rows with probability 3e-5; at 0.4 it meets with 0.07.
 BANDS, ROWS = 45, 7
-SMALL, MORE = 32, 4
+#: Buckets of at most so many members have their pairs compared; classes of set sizes grow by this factor.
+SMALL, SIZE_STEP = 32, 1.03
 _U = np.uint64
 
 
@@ -130,30 +130,40 @@ def compare(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return ratio.where(F.col("i") >= F.lit(similarity) * (F.col("s") - F.col("i")) - 1e-9).select("a", "b")
 
 
-def _top(members: DataFrame, most: int) -> DataFrame:
-    """The `most` members of each bucket that share most buckets; in two steps, so that no task sorts a whole bucket."""
-    order = [F.desc("pop"), "cls"]
-    if most == 1:
-        return members.groupBy("bucket").agg(F.min_by(F.struct("cls", "n", "comp"), F.struct(-F.col("pop"), F.col("cls"))).alias("m")).select("bucket", F.col("m.cls").alias("leader"), F.col("m.n").alias("ln"), F.col("m.comp").alias("lc"))
-    some = Window.partitionBy("bucket", F.pmod(F.xxhash64("cls"), F.lit(64))).orderBy(*order)
-    few = members.withColumn("__r", F.row_number().over(some)).where(F.col("__r") <= most)
-    few = few.withColumn("__r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("__r") <= most)
-    return few.select("bucket", F.col("cls").alias("leader"), F.col("n").alias("ln"), F.col("comp").alias("lc"))
-
-
-def by_prefix(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The members of large buckets, with the shingles of their prefixes as buckets; shingles of one member are left out."""
-    one = members.select("cls", "n", "pop", "comp").distinct()
-    whole = one.select("cls").join(sets, "cls").select("cls", F.size("hashes").alias("m"), F.xxhash64("hashes").alias("s"), "hashes")
-    tokens = materialise(whole.select("cls", "m", "s", F.explode("hashes").alias("h")), "prefix-shingles")
+def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of different components that can have this similarity, by an exact prefix join.
+
+    Shingles are ordered from rare to frequent. Two sets of sizes s <= z with Jaccard similarity t share at least
+    o = t / (1 + t) * (s + z) shingles, so the first shared one has at least o - 1 others behind it in either set.
+    A set whose shingle has `rest` others behind it therefore allows partners of at most `most` =
+    (1 + rest) * (1 + t) / t - size shingles. The smaller set of a pair sends its shingle to each class of sizes up
+    to that bound, the larger one to its own class, and a pair meets only if both bounds hold: a passage that many
+    texts share leads to a pair only where it is so long in both that they are links. Sets of the component that
+    fills most of a bucket meet the others only.
+    """
+    one = members.select("cls", "n", "comp").distinct()
+    whole = one.join(sets, "cls").groupBy("cls", "n", "comp").agg(F.first("hashes").alias("hashes"))  # repeated rows give a set more than once
+    tokens = materialise(whole.select("cls", "n", "comp", F.explode("hashes").alias("h")), "prefix-shingles")
     often = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = tokens.join(often, "h").groupBy("cls", "m", "s").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
-    # The set of a class with repeated rows comes more than once: equal neighbours count as one.
-    ordered = ordered.withColumn("t", F.filter("t", lambda x, i: (i == 0) | (x != F.get("t", i - 1))))
-    first = F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9) + 1
-    room = F.greatest(first - (F.col("m") - F.size("t")), F.lit(0)).cast("int")  # those of one member come before all others
-    prefix = one.join(ordered, "cls").select(F.explode(F.slice("t", F.lit(1), room)).alias("x"), "cls", "n", "pop", "comp")
-    return prefix.select(F.col("x.h").alias("bucket"), "cls", "n", "pop", "comp")
+    ordered = tokens.join(often, "h").groupBy("cls", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    # Shingles of one member come before all others and meet nothing.
+    alone = F.col("n") - F.size("t")
+    first = F.greatest(F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - alone, F.lit(0)).cast("int")
+    at = ordered.select("cls", "n", "comp", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), first)).alias("pos", "x"))
+    rest = F.col("n") - F.col("alone") - F.col("pos") - 1
+    at = at.select(F.col("x.h").alias("h"), "cls", "n", "comp", F.floor((1 + rest) * ((1 + similarity) / similarity) - F.col("n") + 1e-6).alias("most"))
+    size_class = lambda c: F.floor(F.log(c.cast("double")) / math.log(SIZE_STEP)).cast("int")
+    small = at.where("most >= n").select("*", F.explode(F.sequence(size_class(F.col("n")), size_class(F.least(F.col("most"), F.floor(F.col("n") / similarity + 1e-6))))).alias("c"), F.lit(True).alias("small"))
+    at = materialise(small.union(at.select("*", size_class(F.col("n")).alias("c"), F.lit(False).alias("small"))), "prefix-buckets")
+    shares = at.groupBy("h", "c", "comp").agg(F.count("*").alias("k"))
+    mixed = shares.groupBy("h", "c").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("h", "c", "main")
+    at = at.join(mixed, ["h", "c"])
+    x = at.where("small").select("h", "c", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("most").alias("am"), "main")
+    y = at.where("NOT small").select("h", "c", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("most").alias("bm"), F.col("main").alias("bmain"))
+    meet = (F.col("ac") != F.col("bc")) & (F.col("bn") <= F.col("am")) & (F.col("an") <= F.col("bm")) & ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b"))))
+    others = x.where("ac <> main").join(y, ["h", "c"]).where(meet).select("a", "b")
+    main = x.where("ac = main").join(y.where("bc <> bmain"), ["h", "c"]).where(meet).select("a", "b")
+    return others.union(main).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _near_rows(docs: DataFrame, similarity: float, id_col: str, row_col: str | None = None) -> DataFrame:
@@ -166,45 +176,31 @@ def _near_rows(docs: DataFrame, similarity: float, id_col: str, row_col: str | N
     full = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialise(exploded.join(full, "bucket"), "bucket-members")
     popular = shared.groupBy("cls").agg(F.sum("size").alias("pop"))
-    members = materialise(shared.join(popular, "cls").select("bucket", "cls", "n", "pop", F.col("cls").alias("comp")), "bucket-members")
-    sets = materialise(shingle_sets(docs, classes.join(popular, "cls", "left_semi"), id_col), "shingle-sets")
-    links = tried = tree = None
+    members = shared.join(popular, "cls")
     ratio = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
-    most, dealt = 1, False
-    while True:
-        mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
-        members = materialise(members.join(mixed, "bucket"), "bucket-members")
-        if members.isEmpty():
-            break
-        if tree is not None and not dealt:
-            dealt = True
-            few = members.where(F.col("size") <= SMALL).select("bucket", "cls", "n", "pop", "comp")
-            members = materialise(few.union(by_prefix(members.where(F.col("size") > SMALL), sets, similarity)), "bucket-members")
-            continue
-        large = members if tree is None else members.where(F.col("size") > SMALL)
-        leaders = _top(large, most)
-        pairs = large.join(leaders, "bucket").where((F.col("comp") != F.col("lc")) & ratio("n", "ln")).select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
-        if tree is not None:
-            few = members.where(F.col("size") <= SMALL)
-            other = few.select("bucket", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-            pairs = pairs.union(few.join(other, "bucket").where((F.col("cls") < F.col("b")) & (F.col("comp") != F.col("bc")) & ratio("n", "bn")).select(F.col("cls").alias("a"), "b"))
-        pairs = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        found = materialise(compare(pairs, sets, similarity), "links")
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        if tree is None or not found.isEmpty():
-            tree = materialise(components(links, "near-components"), "near-components")
-        rest = large.drop("size").join(leaders.select("bucket", F.col("leader").alias("cls")), ["bucket", "cls"], "left_anti")
-        members = rest.join(tree.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "n", "pop", F.coalesce("component", "comp").alias("comp"))
-        most *= MORE
-    named = classes.select("c1", "c2", "least", "cls")
-    if tree is not None:
-        named = named.join(tree.withColumnRenamed("node", "cls"), "cls", "left").select("c1", "c2", "least", F.coalesce("component", "cls").alias("cls"))
-        first = named.groupBy("cls").agg(F.min("least").alias("first"))
-        named = named.join(first, "cls").select("c1", "c2", "first")
-    else:
-        named = named.select("c1", "c2", F.col("least").alias("first"))
+
+    # First each member with the leader of its bucket.
+    leaders = members.groupBy("bucket").agg(F.min_by(F.struct("cls", "n"), F.struct(-F.col("pop"), F.col("cls"))).alias("m")).select("bucket", F.col("m.cls").alias("leader"), F.col("m.n").alias("ln"))
+    members = materialise(shared.join(leaders, "bucket"), "bucket-members")
+    sets = materialise(shingle_sets(docs, classes.join(popular, "cls", "left_semi"), id_col), "shingle-sets")
+    pairs = members.where((F.col("cls") != F.col("leader")) & ratio("n", "ln")).select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
+    links = materialise(compare(pairs.distinct(), sets, similarity), "links")
+    tree = materialise(components(links, "near-components"), "near-components")
+
+    # Then, where a bucket still joins different components, its other pairs.
+    members = members.join(tree.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "n", "size", "leader", F.coalesce("component", "cls").alias("comp"))
+    mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    members = materialise(members.join(mixed, "bucket"), "bucket-members")
+    few = members.where((F.col("size") <= SMALL) & (F.col("cls") != F.col("leader")))
+    other = few.select("bucket", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
+    pairs = few.join(other, "bucket").where((F.col("cls") < F.col("b")) & (F.col("comp") != F.col("bc")) & ratio("n", "bn")).select(F.col("cls").alias("a"), "b")
+    pairs = pairs.union(prefix_pairs(members.where(F.col("size") > SMALL), sets, similarity)).distinct()
+    found = materialise(compare(pairs, sets, similarity), "links")
+    tree = materialise(components(links.union(found), "near-components"), "near-components")
+
+    named = classes.select("c1", "c2", "least", "cls").join(tree.withColumnRenamed("node", "cls"), "cls", "left").select("c1", "c2", "least", F.coalesce("component", "cls").alias("cls"))
+    first = named.groupBy("cls").agg(F.min("least").alias("first"))
+    named = named.join(first, "cls").select("c1", "c2", "first")
     out = signed.join(named, ["c1", "c2"])
     return out.select("k", F.col("first.k").alias("class"), "row", (F.col("row") == F.col("first.row")).alias("kept"))
 

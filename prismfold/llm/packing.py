@@ -1,24 +1,26 @@
 """Hierarchical multi-length packing of token sequences.
 
 A document's tokens are cut and routed to tiers of context length (2048, 1024, ... 64). Whole windows of the
-longest tier leave at once; what is left of a document goes to the shortest tier that holds it. Tiers are packed
-first-fit-decreasing into windows, long windows first; the gaps of a long window are filled from shorter tiers,
-the last piece being cut so that the window is full. What remains at the end of a run is cut into windows whose
-lengths are powers of two, which need no padding. Windows are dealt to step groups of near-equal token counts.
+longest tier leave at once; what is left of a document goes to the shortest tier that holds it. Each tier is packed
+into windows of its own length, long tiers and long pieces first: a piece opens a window of its tier, and the
+longest pieces of shorter tiers that fit fill the gap; if none fits, one is cut, and what is left of it is routed
+anew. So every window is full. What remains at the end of a run is cut into windows whose lengths are powers of
+two, which need no padding. Windows are dealt to step groups of near-equal token counts.
 
 Packing runs where the text is read: a task packs runs of documents as they stream by, so no token is shuffled
 and memory is bounded by a run. A sequence id holds the task's partition and a count, so a task that is run
 again gives the same ids.
 
-Null or empty text: a document of its end token alone. Very long texts: cut into many windows. Repeated rows
+Null or empty text: a document of its end token alone. Null ids stay null. Very long texts: cut into many windows. Repeated rows
 are packed each for itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import unicodedata
-import zlib
-from collections.abc import Iterator
+import json
+import re
+from bisect import bisect_right, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +41,25 @@ CACHE = 600_000
 #: A run of documents holds about so many bytes of text.
 RUN_BYTES = 8 << 20
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-
-#: Strings on which the whole text goes through the tokenizer: its special tokens, separators that only Python
-#: splits at, and a letter that Python lower-cases by context.
-_WHOLE = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
-_SIMPLE = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']+)?")
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
+
+#: Strings on which the whole text goes through the tokenizer: its special tokens, and separators that only Python splits at.
+_WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: A word of Latin letters, whose classes no version of Unicode changes, with marks behind it.
+_SIMPLE = regex.compile(r"([a-z\xDF-\xF6\xF8-\xFF\u0100-\u024F]+)([!-&(-/:-@\[-`{-~]+)?")
+#: What is not Latin letters without combining marks (and not the one whose lower case has a mark): only then does normalising do more than lower().
+_BEYOND = re.compile("[^\x00-\u012F\u0131-\u024F]")
+#: The normaliser and the splitter that act on each white-space-separated part alone.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 def _byte_characters() -> list[str]:
@@ -60,48 +75,55 @@ _SHOWN = _byte_characters()
 class WordTokenizer:
     """Token ids as the library gives them for a whole text, by words with a bounded cache.
 
-    Its normalizer and splitter never join across white space, so the ids of a text are those of its
-    white-space-separated parts in turn.
+    Where the tokenizer's normaliser and splitter never join across white space, the ids of a text are those of its
+    white-space-separated parts in turn. Each part is normalised once, by the library, and then split and looked up
+    without the normaliser: lower case can leave letters that another pass would compose. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.cache = _Words(self)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.kind = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_words = all(rules[k] == v for k, v in _BY_WORDS.items())
+        self.words, self.pieces = _Cache(self.word), _Cache(self.piece)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def part(self, word: str) -> bytes:
-        m = _SIMPLE.fullmatch(word) if len(word) < 200 else None
+    def word(self, word: str) -> bytes:
+        """The ids of a part without white space."""
+        normal = self.normalizer.normalize_str(word) if _BEYOND.search(word) else word.lower()
+        m = _SIMPLE.fullmatch(normal) if len(normal) < 200 else None
         if not m:
-            return self.whole(word)
-        if m[2]:
-            return self.cache[m[1]] + self.cache[m[2]] if m[1] != word else self.whole(word)
-        shown = word if word.isascii() else "".join([_SHOWN[c] for c in word.encode()])
-        return np.array([t.id for t in self.model.tokenize(shown)], np.uint16).tobytes()
+            return np.array(self.plain.encode(normal, add_special_tokens=False).ids, self.kind).tobytes()
+        return self.pieces[m[1]] + (self.pieces[m[2]] if m[2] else b"")
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of a normal run of letters or of marks."""
+        shown = piece if piece.isascii() else "".join([_SHOWN[c] for c in piece.encode()])
+        return np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if any(x in text for x in _WHOLE):
-            return np.frombuffer(self.whole(text), np.uint16)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        return np.frombuffer(b"".join(map(cache.__getitem__, text.lower().split())), np.uint16)
-
-
-class _Words(dict):
-    def __init__(self, owner: WordTokenizer):
-        self.owner = owner
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.owner.part(word)
-        if len(word) < 200:
-            self[word] = ids
+        if not self.by_words or any(x in text for x in _WHOLE):
+            return np.frombuffer(self.whole(text), self.kind)
+        for cache in (self.words, self.pieces):
+            if len(cache) > CACHE:
+                cache.clear()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, (text if _BEYOND.search(text) else text.lower()).split())), self.kind)
+
+
+class _Cache(dict):
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.find(key)
+        if len(key) < 200:
+            self[key] = ids
         return ids
 
 
@@ -117,36 +139,25 @@ def tokenizer(path: str) -> WordTokenizer:
 def pack(lengths: np.ndarray, longest: int = LONGEST, tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (document, start, length). Every token lies in exactly one piece."""
     windows: list[list[tuple[int, int, int]]] = []
-    rest: dict[int, list[tuple[int, int, int]]] = {t: [] for t in tiers}
+    waiting: list[tuple[int, int, int]] = []  # (length, document, start), ascending
     for d, n in enumerate(lengths.tolist()):
         whole = n // longest
         windows += [[(d, i * longest, longest)] for i in range(whole)]
-        left = n - whole * longest
-        if left:
-            at = whole * longest
-            for t in tiers[1:]:  # a remainder that fills a shorter window goes there in part
-                if left == t:
-                    windows.append([(d, at, t)])
-                    left = 0
-                    break
-            if left:
-                rest[min((t for t in tiers if t >= left), default=tiers[0])].append((d, at, left))
-    for t in tiers:
-        rest[t].sort(key=lambda p: (-p[2], p[0]))
-    shorter = [p for t in reversed(tiers) for p in reversed(rest[t])]  # ends with the longest
-    waiting, low = shorter, 0
-    while low < len(waiting):
-        head = waiting.pop()
-        window, room = [head], longest - head[2]
-        while room and low < len(waiting):
-            d, at, n = waiting[-1] if waiting[-1][2] <= room else waiting[low]
-            if n <= room and waiting[-1][2] <= room:
-                waiting.pop()
-            else:
-                low += 1
-            if n > room:  # cut it: the window is full, what is left waits on
-                low -= 1
-                waiting[low] = (d, at + room, n - room)
+        if n > whole * longest:
+            waiting.append((n - whole * longest, d, whole * longest))
+    waiting.sort(key=lambda p: (p[0], -p[1]))
+    while waiting:
+        # The longest that waits opens a window of its tier; pieces of shorter tiers fill the gap.
+        n, d, at = waiting.pop()
+        size = min(t for t in tiers if t >= n)
+        window, room = [(d, at, n)], size - n
+        while room and waiting:
+            i = bisect_right(waiting, room, key=lambda p: p[0]) - 1
+            if i >= 0:
+                n, d, at = waiting.pop(i)
+            else:  # all are longer: the shortest is cut, and what is left of it goes to its own tier
+                n, d, at = waiting.pop(0)
+                insort(waiting, (n - room, d, at + room), key=lambda p: p[0])
                 n = room
             window.append((d, at, n))
             room -= n
@@ -154,7 +165,7 @@ def pack(lengths: np.ndarray, longest: int = LONGEST, tiers: tuple[int, ...] = T
             windows.append(window)
             continue
         # Nothing waits any more: windows of powers of two, without padding.
-        total, size = longest - room, longest
+        total = size - room
         while total:
             while size > total:
                 size //= 2
@@ -183,14 +194,16 @@ def step_groups(sizes: list[int], step: int = STEP) -> list[int]:
 
 
 def pack_documents(docs: DataFrame, path: str, longest: int = LONGEST, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id") -> DataFrame:
-    """A row per piece: document, start in its ids, length, sequence, offset there, tier and step group."""
+    """A row per piece: document, start in its ids, length, sequence, offset there, tier, step group, and the ids, little-endian unsigned 32-bit."""
+    if longest & (longest - 1) or tiers[0] != longest or any(t & (t - 1) for t in tiers):
+        raise ValueError("tiers are powers of two and begin with the longest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         sequence, group0 = TaskContext.get().partitionId() << 33, TaskContext.get().partitionId() << 33
         for b in slices(batches, "__text", RUN_BYTES):
             ids = b.column(0).to_numpy(zero_copy_only=False) if not b.column(0).null_count else np.array(b.column(0).to_pylist(), object)
-            tokens = [np.append(tok.ids(t or ""), np.uint16(END)) for t in b.column(1).to_pylist()]
+            tokens = [np.append(tok.ids(t or ""), tok.kind(END)) for t in b.column(1).to_pylist()]
             lengths = np.array([len(t) for t in tokens], np.int64)
             windows = pack(lengths, longest, tiers)
             sizes = [sum(p[2] for p in w) for w in windows]
@@ -199,13 +212,14 @@ def pack_documents(docs: DataFrame, path: str, longest: int = LONGEST, tiers: tu
             for w, size, g in zip(windows, sizes, groups, strict=True):
                 offset = 0
                 for d, at, n in w:
-                    row = (ids[d], at, n, zlib.crc32(tokens[d][at : at + n].astype("<u4")), lengths[d], sequence, offset, size if size & (size - 1) == 0 else longest, group0 + g)
+                    row = (ids[d], at, n, lengths[d], sequence, offset, size if size & (size - 1) == 0 else longest, group0 + g, tokens[d][at : at + n].astype("<u4").tobytes())
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                     offset += n
                 sequence += 1
             group0 += max(groups, default=-1) + 1
-            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            kinds = [pa.int64()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
+            for at in range(0, len(cols[0]), 4096):
+                yield pa.record_batch([pa.array(c[at : at + 4096], k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("__text")).mapInArrow(run, SCHEMA)

@@ -5,13 +5,17 @@ payloads of at least `min_bytes`, the one with the smallest id is a response rec
 records that name it and keep its HTTP headers. Each task writes under a name of its own and renames the file
 when it is whole, so a task that runs again leaves one archive.
 
-Index: captures are sorted by reversed-host URL key and written as compressed blocks of lines; a sparse directory
-keeps the first key and the byte range of each block. A lookup binary-searches the directory, reads one block by
-range, binary-searches its lines and reads the record by range. A full read goes over the directory's blocks in
-parallel, deals their captures to the archives and reads each archive's ranges in order.
+Index: captures are sorted by reversed-host URL key and written as compressed blocks of lines. Beside each index
+file lies its sparse directory: an entry per block (first key, first page, byte range, lines), then the entries'
+places and their number, so that an entry is read by range. A lookup binary-searches the files by their first
+entries and then the entries of one file, all by range reads, reads the blocks that hold the key one at a time,
+binary-searches their lines and reads each record by range. A revisit's line holds the archive and range of the
+response that it names, so that its payload takes one more range read, however often a URL was captured. A full
+read goes over all blocks in parallel, deals their captures to the archives and reads each archive's ranges in order.
 
 Null html: an empty payload. Null url: an empty key, sorted first. Null ids order before others. Repeated rows
 are captures of their own; among equal ids the smallest URL is the response, and whole repeats are responses alike.
+A URL that was not captured: no rows. Empty tables: an empty index. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ from __future__ import annotations
 import bisect
 import gzip
 import hashlib
+import itertools
 import json
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -146,28 +152,39 @@ def write_archives(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     return planned.select("k", "url", "html", "size", "digest", "refers", "refers_url").mapInArrow(run, "url_key string, page long, url string, kind string, digest string, archive string, offset long, length long")
 
 
+def targets(captures: DataFrame) -> DataFrame:
+    """The captures, revisits with the archive and range of a response of their payload."""
+    kept = captures.where("kind = 'response'").groupBy("digest").agg(F.min(F.struct("archive", "offset", "length")).alias("to"))
+    again = captures.where("kind = 'revisit'")
+    # One row for each digest meets its revisits: Spark may split a frequent digest.
+    found = again.join(kept.join(again.select("digest").distinct(), "digest"), "digest").select(*captures.columns, "to")
+    return captures.where("kind = 'response'").withColumn("to", F.lit(None).cast("struct<archive:string,offset:bigint,length:bigint>")).unionByName(found)
+
+
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Sort captures, write compressed blocks; the directory: (first_key, first_page, file, offset, length, lines)."""
+    """Sort captures, write compressed blocks and directories; the blocks: (first_key, first_page, file, offset, length, lines, bytes)."""
     parts = max(1, shuffle_partitions(captures.sparkSession) // 4)
     ordered = captures.repartitionByRange(parts, "url_key", "page").sortWithinPartitions("url_key", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
-        name, temporary = f"index-{TaskContext.get().partitionId():05d}.gz", f"{root}/.{uuid.uuid4().hex}.tmp"
+        name, temporary = f"index-{TaskContext.get().partitionId():08d}.gz", f"{root}/.{uuid.uuid4().hex}.tmp"
         out, at, rows, lines = None, 0, [], []
 
         def block() -> None:
             nonlocal at, lines
             data = gzip.compress("".join(x[2] for x in lines).encode(), 6, mtime=0)
             out.write(data)
-            rows.append((lines[0][0], lines[0][1], name, at, len(data), len(lines)))
+            rows.append((lines[0][0], lines[0][1], name, at, len(data), len(lines), sum(x[3] for x in lines)))
             at, lines = at + len(data), []
 
         for b in batches:
             for r in b.to_pylist():
                 if out is None:
                     out = fs.open_output_stream(temporary)
-                lines.append((r["url_key"], r["page"], json.dumps([r[c] for c in ("url_key", "page", "url", "kind", "digest", "archive", "offset", "length")], ensure_ascii=False) + "\n"))
+                to = [r["to"][c] for c in ("archive", "offset", "length")] if r["to"] else None
+                line = json.dumps([*(r[c] for c in ("url_key", "page", "url", "kind", "digest", "archive", "offset", "length")), to], ensure_ascii=False) + "\n"
+                lines.append((r["url_key"], r["page"], line, r["length"]))
                 if len(lines) == block_lines:
                     block()
         if lines:
@@ -175,11 +192,38 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         if out is not None:
             out.close()
             fs.move(temporary, f"{root}/{name}")
+            entries = [json.dumps([k, page, offset, length, n], ensure_ascii=False).encode() for k, page, _, offset, length, n, _ in rows]
+            places = list(itertools.accumulate(map(len, entries), initial=0))
+            with fs.open_output_stream(temporary) as f:
+                f.write(b"".join(entries) + struct.pack(f"<{len(places) + 1}q", *places, len(entries)))
+            fs.move(temporary, f"{root}/{name.removesuffix('.gz')}.dir")
             cols = list(zip(*rows, strict=True))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["first_key", "first_page", "file", "offset", "length", "lines"])
+            kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["first_key", "first_page", "file", "offset", "length", "lines", "bytes"])
+
+    return ordered.select("url_key", "page", "url", "kind", "digest", "archive", "offset", "length", "to").mapInArrow(run, "first_key string, first_page long, file string, offset long, length long, lines long, bytes long")
+
+
+class Directory:
+    """The sparse directory of an index file, read entry by entry."""
 
-    return ordered.select("url_key", "page", "url", "kind", "digest", "archive", "offset", "length").mapInArrow(run, "first_key string, first_page long, file string, offset long, length long, lines long")
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        self.fs, self.path = fs, path
+        self.end = fs.get_file_info(path).size - 8
+        (self.count,) = struct.unpack("<q", read_range(fs, path, self.end, 8))
+        self.known: dict[int, list] = {}
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, i: int) -> list:
+        """First key, first page, offset, length and lines of a block."""
+        if not 0 <= i < self.count:
+            raise IndexError(i)
+        if i not in self.known:
+            a, b = struct.unpack("<2q", read_range(self.fs, self.path, self.end - 8 * (self.count + 1 - i), 16))
+            self.known[i] = json.loads(read_range(self.fs, self.path, a, b - a))
+        return self.known[i]
 
 
 def read_range(fs: pafs.FileSystem, path: str, offset: int, length: int) -> bytes:
@@ -187,8 +231,8 @@ def read_range(fs: pafs.FileSystem, path: str, offset: int, length: int) -> byte
         return f.read_at(length, offset)
 
 
-def read_block(fs: pafs.FileSystem, root: str, file: str, offset: int, length: int) -> list[list]:
-    return [json.loads(x) for x in gzip.decompress(read_range(fs, f"{root}/{file}", offset, length)).decode().split("\n")[:-1]]
+def read_block(fs: pafs.FileSystem, path: str, offset: int, length: int) -> list[list]:
+    return [json.loads(x) for x in gzip.decompress(read_range(fs, path, offset, length)).decode().split("\n")[:-1]]
 
 
 class CaptureIndex:
@@ -205,28 +249,35 @@ class CaptureIndex:
         fs, root = _open(_uri(folder))
         fs.create_dir(root, recursive=True)
         captures = materialise(write_archives(plan(pages, min_bytes), _uri(folder), archive_bytes), "captures")
-        write_index(captures, _uri(folder), block_lines).write.mode("overwrite").parquet(f"{folder}/directory")
+        write_index(targets(captures), _uri(folder), block_lines).write.mode("overwrite").parquet(f"{folder}/directory")
         return cls(spark, folder)
 
-    def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        """Headers and payload of all captures of a URL; a revisit's payload is that of the record it names."""
-        key = url_key(url)
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """File, offset and length of the blocks that may hold a key, in order."""
+        fs, root = _open(self.folder)
+        files = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith("index-") and x.extension == "dir")
         # The block before the first that starts at or after the key may hold it as well.
-        before = self.directory.where(F.col("first_key") < key).orderBy(F.desc("first_key"), F.desc("first_page")).limit(1)
-        blocks = before.unionByName(self.directory.where(F.col("first_key") == key)).collect()
+        f = bisect.bisect_left(files, key, key=lambda path: Directory(fs, path)[0][0])
+        for path in files[max(0, f - 1) :]:
+            entries = Directory(fs, path)
+            for i in range(max(0, bisect.bisect_left(entries, key, key=lambda e: e[0]) - 1), len(entries)):
+                first, _, offset, length, _ = entries[i]
+                if first > key:
+                    return
+                yield f"{path.removesuffix('.dir')}.gz", offset, length
+
+    def lookup(self, url: str) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Headers and payload of each capture of a URL, one at a time; a revisit's payload is that of the record it names."""
+        key = url_key(url)
         fs, root = _open(self.folder)
-        out = []
-        for b in sorted(blocks, key=lambda b: (b["first_key"], b["first_page"])):
-            lines = read_block(fs, root, b["file"], b["offset"], b["length"])
+        whole = lambda archive, offset, length: parse(gzip.decompress(read_range(fs, f"{root}/{archive}", offset, length)))
+        for file, offset, length in self.blocks(key):
+            lines = read_block(fs, file, offset, length)
             for line in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) :]:
                 if line[0] != key:
                     break
-                fields, _, payload = parse(gzip.decompress(read_range(fs, f"{root}/{line[5]}", line[6], line[7])))
-                if line[3] == "revisit":
-                    first = fields["WARC-Refers-To"]
-                    payload = next(p for f, p in self.lookup(fields["WARC-Refers-To-Target-URI"]) if f["WARC-Record-ID"] == first and f["WARC-Type"] == "response")
-                out.append((fields, payload))
-        return out
+                fields, _, payload = whole(*line[5:8])
+                yield fields, whole(*line[8])[2] if line[8] else payload
 
     def entries(self) -> DataFrame:
         """All captures, from the index blocks."""
@@ -236,7 +287,7 @@ class CaptureIndex:
             fs, root = _open(folder)
             for b in batches:
                 for r in b.to_pylist():
-                    cols = list(zip(*read_block(fs, root, r["file"], r["offset"], r["length"]), strict=True))
+                    cols = list(zip(*read_block(fs, f"{root}/{r['file']}", r["offset"], r["length"]), strict=True))[:8]
                     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["url_key", "page", "url", "kind", "digest", "archive", "offset", "length"])
 
@@ -281,7 +332,10 @@ class CaptureIndex:
                         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
                         rows, held = [], 0
 
-        dealt = self.entries().select("archive", "offset", "length").withColumn("stripe", stripe).repartition("archive", "stripe").sortWithinPartitions("archive", "offset")
+        # So many tasks that each reads about four stripes of archives.
+        size = self.directory.agg(F.sum("bytes")).first()[0] or 0
+        parts = max(shuffle_partitions(self.spark), -(-size // (4 * READ_BYTES)))
+        dealt = self.entries().select("archive", "offset", "length").withColumn("stripe", stripe).repartition(parts, "archive", "stripe").sortWithinPartitions("archive", "offset")
         out = dealt.select("archive", "offset", "length").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
         back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
         return out.select(back("page_id"), "url", "record_type", back("refers_to"), "payload_bytes", "payload_digest", "payload")

@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -192,7 +191,7 @@ def test_packing(docs, rows, none):
     for r in out:
         ids = next(x for x in want[r["doc_id"]] if len(x) == r["doc_tokens"])
         part = ids[r["start"] : r["start"] + r["length"]]
-        assert len(part) == r["length"] > 0 and zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+        assert len(part) == r["length"] > 0 and np.array(part, "<u4").tobytes() == r["ids"]
         seen[r["doc_id"]] += r["length"]
         room[r["sequence_id"]].append((r["offset"], r["length"]))
     assert {d: sum(map(len, x)) for d, x in want.items()} == seen
@@ -201,41 +200,93 @@ def test_packing(docs, rows, none):
         for offset, n in sorted(pieces):
             assert offset == at
             at += n
-        assert at <= 2048
+        assert at <= 2048 and at & (at - 1) == 0
     assert packing.pack_documents(none, path).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack_documents(docs, path, longest=1000, tiers=(1000, 500))
+
+
+def test_packing_tiers():
+    lengths = np.random.default_rng(4).lognormal(5.5, 1.2, 5000).astype(np.int64) + 1
+    windows = packing.pack(lengths)
+    seen, count = defaultdict(list), defaultdict(int)
+    for w in windows:
+        size = sum(n for _, _, n in w)
+        assert size & (size - 1) == 0 and size <= 2048
+        count[size] += 1
+        for d, at, n in w:
+            seen[d].append((at, n))
+    for d, n in enumerate(lengths):
+        end = 0
+        for at, k in sorted(seen[d]):
+            assert at == end
+            end += k
+        assert end == n
+    assert all(count[t] >= 20 for t in packing.TIERS[:-1])
+    # A document of a tier opens a window of that tier unless it fills a longer one's gap.
+    assert sum(count[t] * t for t in packing.TIERS) >= 0.999 * lengths.sum()
     sizes = [64, 2048, 512, 2048] * 40
-    groups = packing.step_groups(sizes)
-    load = np.bincount(groups, sizes)
+    load = np.bincount(packing.step_groups(sizes), sizes)
     assert load.max() - load.min() <= 2048
 
 
+def test_word_tokenizer_equals_library():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    cased = [chr(c) for c in range(0x250) if chr(c).isalpha()] + list("ΣΏЙẞİǅ") + [chr(c) for c in range(0x1E00, 0x1F00)]
+    marks = [chr(c) for c in (0x300, 0x301, 0x302, 0x303, 0x304, 0x307, 0x308, 0x30A, 0x30C, 0x323, 0x327, 0x328, 0x331, 0x345)]
+    texts = [f"{a}{c}{m}{z}" for c in cased for m in marks for a, z in (("", "b"), ("x", ""), ("'", "."), ("1", "ohn"))]
+    texts += ["T\u0308b J\u030cohn 'H\u0331a 1W\u030a", "it's WE'LL 'S d'or", "a\u00a0b\u2003c\u0308", "ΌΔΟΣ ΣΑΣ.", "x\x1cy", "<|endoftext|> a", "3½ ①2", "", " \u0301 a"]
+    rng = random.Random(6)
+    pool = [*cased, *marks, " ", "\n", "'", "-", "7", "漢", "é", "\u200b", "😀"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(20000)]
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.ids(t).tolist() == e.ids, ascii(t)
+
+
+def greedy(sizes, capacity):
+    n, at = 1, 0
+    for s in sizes:
+        if s > capacity:
+            return None
+        if at + s > capacity:
+            n, at = n + 1, 0
+        at += s
+    return n
+
+
 def test_sharding(docs, rows, none):
-    out = sharding.shard_documents(docs, shards=5, blocks=7).collect()
+    import zlib
+
+    out = sharding.shard_documents(docs, shards=5, leaf=3, branch=2).collect()
     assert len(out) == len(rows)
-    group = {r["group_id"]: r["shard"] for r in out}
-    assert all(group[r["group_id"]] == r["shard"] for r in out)
-    size = defaultdict(int)
+    size, shard, load = defaultdict(int), defaultdict(set), defaultdict(int)
+    texts = {(d, zlib.crc32((t or "").encode())): t or "" for d, t in rows}
     for r in out:
-        size[r["group_id"]] += r["size"]
+        text = texts[r["doc_id"], r["text_crc32"]]
+        assert r["size"] == len(text.encode()) + 16
+        name = (r["group_id"], hashlib.md5(text.encode()).digest())
+        size[name] += r["size"]
+        shard[name].add(r["shard"])
+        load[r["shard"]] += r["size"]
+    assert all(len(x) == 1 for x in shard.values())
     order = [size[g] for g in sorted(size)]
+    assert [min(shard[g]) for g in sorted(size)] == sorted(min(shard[g]) for g in size)
+    assert max(load.values()) == next(c for c in range(max(order), sum(order) + 1) if (n := greedy(order, c)) and n <= 5)
+    for s in load:
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    assert sharding.shard_documents(none).count() == 0
 
-    def feasible(c):
-        n, at = 1, 0
-        for s in order:
-            if s > c:
-                return False
-            if at + s > c:
-                n, at = n + 1, 0
-            at += s
-        return n <= 5
 
+def test_sharding_texts_under_one_id(spark):
+    frame = spark.createDataFrame([(1, "a" * 100), (1, "b" * 100), (1, "c" * 10)], "doc_id long, text string")
     load = defaultdict(int)
-    for r in out:
+    for r in sharding.shard_documents(frame, shards=2).collect():
         load[r["shard"]] += r["size"]
-    assert max(load.values()) == next(c for c in range(max(order), sum(order) + 1) if feasible(c))
-    for s in load:
-        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
-    assert sharding.shard_documents(none).count() == 0
+    order = [len(t) + 16 for t in sorted(("a" * 100, "b" * 100, "c" * 10), key=lambda t: hashlib.md5(t.encode()).digest())]
+    assert max(load.values()) == next(c for c in range(116, 300) if greedy(order, c) <= 2)
 
 
 def test_warc(spark):
@@ -250,9 +301,21 @@ def test_warc(spark):
         ref = first.setdefault(k, p) if k[0] >= 100 else p
         assert got.pop(p) == (*k, "response" if ref == p else "revisit", None if ref == p else ref)
     assert not got
-    found = index.lookup(pages[7][1])
-    assert sorted(b for _, b in found) == sorted((h or "").encode() for _, u, h in pages if u and warc.url_key(u) == warc.url_key(pages[7][1]))
+    for url in (pages[7][1], pages[0][1], "http://a.example", "not a url\n", ""):
+        found = list(index.lookup(url))
+        assert sorted(b for _, b in found) == sorted((h or "").encode() for _, u, h in pages if warc.url_key(u or "") == warc.url_key(url))
+    assert not list(index.lookup("http://zz.example/none")) and not list(index.lookup("http://a.aa"))
     assert warc.CaptureIndex.write(df.where("page_id < 0")).read().count() == 0
+    assert not list(warc.CaptureIndex.write(df.where("page_id < 0")).lookup("http://a.example"))
+
+
+def test_warc_recaptured_url(spark):
+    url, html = "http://a.example/x", "same " * 50
+    pages = [(i, url, html) for i in range(40)] + [(50, "http://b.example/", html), (51, url, "other"), (None, url, html), (3, url, html)]
+    index = warc.CaptureIndex.write(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), archive_bytes=500, block_lines=4)
+    found = list(index.lookup(url))
+    assert sorted(b for _, b in found) == sorted(h.encode() for _, u, h in pages if u == url)
+    assert sum(f["WARC-Type"] == "response" for f, _ in found) == 2
 
 
 def test_decontamination(spark, docs, rows, none):

@@ -1,10 +1,15 @@
 """Reversible line deduplication: sharded cuckoo filters backed by exact reference-count tables.
 
-The state is two tables in a folder, one version per change. `postings` is the exact table: line key, document
-and the number of that document's lines with the key. `filters` holds a cuckoo filter per shard of the key
-space, over the keys that reach the threshold; a filter is rebuilt from the reference counts of its shard, so
-deletions are as exact as insertions. Whether a line is dropped is decided by the counts alone; the filters keep
-the many lines that no count can reach from the exact lookup.
+The state is tables in a folder, one version per change: `postings`, the exact table of line key, document and the
+number of that document's lines with the key; `counts`, the documents and the largest document of each key that
+reaches the threshold; and `filters`, a cuckoo filter per shard of the key space over those keys. A change touches
+the keys of its documents alone: their counts are taken anew from the postings, keys that now reach the threshold
+are inserted in the filters and keys that no longer do are deleted from them. Postings are kept in parts, and a
+deletion adds the ids that are gone, so neither rewrites what is there. Whether a line is dropped is decided by the
+counts; the filters keep the many lines that no count can reach from the exact lookup.
+
+Filters travel to where texts are read, after a check of their size: only suspect lines are shuffled. Beyond
+`BROADCAST_BYTES` the postings go to their shards' filters instead.
 
 A key is the line stripped of [\\x20\\x09-\\x0D] with A-Z lower-cased; it counts from `min_chars` code points.
 Keys in at least `min_docs` documents lose all their lines but those of the largest document that holds them.
@@ -27,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import binaries, id_key, materialise, mix, new_path, slices
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Keys that a filter is planned for, and the shares into which a shard's lines are dealt when filters are asked.
-KEYS_PER_SHARD, SALTS = 200_000, 16
+#: Keys that a filter is planned for; bytes of filters that are sent to all tasks.
+KEYS_PER_SHARD, BROADCAST_BYTES = 200_000, 64 << 20
+ADDED = ("__n_lines", "__n_dropped", "__sha256")
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -144,15 +150,35 @@ def build_filters(counted: DataFrame, shards: int) -> DataFrame:
     return counted.select("k1", F.pmod("k1", F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(build, "shard int, filter binary")
 
 
-def suspects(posted: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The postings that their shard's filter may hold. Filters travel ahead of the lines of their shard."""
-    salts = F.explode(F.array([F.lit(i) for i in range(SALTS)])).alias("salt")
+def suspects(posted: DataFrame, filters: DataFrame, shards: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(k1, k2, doc): the postings that their shard's filter may hold."""
+    spark = posted.sparkSession
+    size = filters.agg(F.sum(F.octet_length("filter")).alias("n")).first()["n"] or 0
+    if size <= broadcast_bytes:
+        held = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.collect()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = {s: CuckooFilter(table=t) for s, t in held.value.items()}
+            for b in batches:
+                key, hit = b.column(0).to_numpy(), np.zeros(b.num_rows, bool)
+                shard = np.mod(key, shards)
+                for s in np.unique(shard).tolist():
+                    if s in known:
+                        at = np.flatnonzero(shard == s)
+                        hit[at] = known[s].contains(key[at])
+                yield b.filter(pa.array(hit))
+
+        return posted.select("k1", "k2", "doc").mapInArrow(run, "k1 long, k2 long, doc long")
+
+    # Filters travel ahead of the lines of their shard, which are dealt into as many shares as give each task some MB.
+    salts = max(16, -(-spread(posted) // shards))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     empty = [F.lit(None).cast("long").alias(c) for c in ("k1", "k2", "doc")]
-    both = filters.select("shard", salts, "filter", *empty).unionByName(
-        posted.select(F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("filter"), "k1", "k2", "doc")
+    both = filters.select("shard", salt, "filter", *empty).unionByName(
+        posted.select(F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc", "k2"), F.lit(salts)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("filter"), "k1", "k2", "doc")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, CuckooFilter | None] = (None, None)
         for b in batches:
             shard = b.column(0).to_numpy()
@@ -168,47 +194,112 @@ def suspects(posted: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
                 if lines.num_rows and held[0] == shard[x]:
                     yield lines.filter(pa.array(held[1].contains(lines.column(3).to_numpy()))).select([3, 4, 5])
 
-    return both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull()).select("shard", "salt", "filter", "k1", "k2", "doc").mapInArrow(run, "k1 long, k2 long, doc long")
+    dealt = both.repartition(salts * shards, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+    return dealt.select("shard", "salt", "filter", "k1", "k2", "doc").mapInArrow(beside, "k1 long, k2 long, doc long")
+
+
+def spread(posted: DataFrame) -> int:
+    """Shares of some million postings each."""
+    return -(-posted.count() // 2_000_000)
+
+
+def change_filters(filters: DataFrame, changes: DataFrame, shards: int) -> DataFrame:
+    """The filters with keys inserted (add = true) and deleted (add = false); shards without changes stay as they are."""
+
+    def change(key: tuple, held: pa.Table, wanted: pa.Table) -> pa.Table:
+        tables = held["filter"].to_pylist()
+        keys, add = wanted["k1"].to_numpy(), wanted["add"].to_numpy(zero_copy_only=False)
+        one = CuckooFilter(table=tables[0]) if tables else CuckooFilter(max(8, int(add.sum())))
+        if len(keys):
+            one.delete(keys[~add])
+            if not one.insert(np.sort(keys[add])):
+                one = None  # full: the caller builds this shard's filter from the counts
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([one.table.tobytes() if one else None], pa.binary())})
+
+    named = changes.select("k1", "add", F.pmod("k1", F.lit(shards)).cast("int").alias("shard"))
+    return filters.groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(change, "shard int, filter binary")
 
 
 class LineIndex:
     """The stored state. Changes return a new version; earlier ones stay readable."""
 
-    def __init__(self, spark: SparkSession, posted: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id"):
-        self.spark, self.posted, self.min_chars, self.min_docs, self.id_col = spark, posted, min_chars, min_docs, id_col
-        self.counted = materialise(counts(posted, min_docs), "line-counts")
-        self.shards = max(1, -(-self.counted.count() // KEYS_PER_SHARD))
-        self.filters = materialise(build_filters(self.counted, self.shards), "line-filters")
+    def __init__(self, spark: SparkSession, parts: list[DataFrame], gone: list[DataFrame], counted: DataFrame, filters: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id"):
+        self.spark, self.parts, self.gone, self.counted, self.filters, self.shards = spark, parts, gone, counted, filters, shards
+        self.min_chars, self.min_docs, self.id_col = min_chars, min_docs, id_col
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id") -> LineIndex:
-        return cls(docs.sparkSession, materialise(postings(docs, min_chars, id_col), "line-postings"), min_chars, min_docs, id_col)
+        posted = materialise(postings(docs, min_chars, id_col), "line-postings")
+        counted = materialise(counts(posted, min_docs), "line-counts")
+        shards = max(1, -(-counted.count() // KEYS_PER_SHARD))
+        return cls(docs.sparkSession, [posted], [], counted, materialise(build_filters(counted, shards), "line-filters"), shards, min_chars, min_docs, id_col)
+
+    @property
+    def posted(self) -> DataFrame:
+        """All postings: the parts in order, each deletion after the parts before it."""
+        out = None
+        for part, gone in zip(self.parts, [*self.gone, None], strict=False):
+            out = part if out is None else out.unionByName(part)
+            if gone is not None:
+                out = out.join(gone, "doc", "left_anti").select("k1", "k2", "doc", "n")
+        return out if len(self.parts) == 1 else out.groupBy("k1", "k2", "doc").agg(F.sum("n").alias("n"))
+
+    def _changed(self, parts: list[DataFrame], gone: list[DataFrame], touched: DataFrame) -> LineIndex:
+        """The next version: counts and filters follow for the touched keys (k1, k2) alone."""
+        after = LineIndex(self.spark, parts, gone, self.counted, self.filters, self.shards, self.min_chars, self.min_docs, self.id_col)
+        touched = materialise(touched.select("k1", "k2").distinct(), "line-keys")
+        anew = materialise(counts(after.posted.join(touched, ["k1", "k2"], "left_semi"), self.min_docs), "line-counts")
+        before = self.counted.join(touched, ["k1", "k2"], "left_semi")
+        key = ["k1", "k2"]
+        changes = anew.select(*key).join(before.select(*key), key, "left_anti").withColumn("add", F.lit(True)).unionByName(before.select(*key).join(anew.select(*key), key, "left_anti").withColumn("add", F.lit(False)))
+        after.counted = materialise(self.counted.join(touched, key, "left_anti").unionByName(anew), "line-counts")
+        filters = materialise(change_filters(self.filters, changes, self.shards), "line-filters")
+        full = filters.where("filter IS NULL").select("shard")
+        if not full.isEmpty():
+            again = after.counted.withColumn("shard", F.pmod("k1", F.lit(self.shards)).cast("int")).join(full, "shard", "left_semi")
+            filters = materialise(filters.where("filter IS NOT NULL").unionByName(build_filters(again, self.shards)), "line-filters")
+        after.filters = filters
+        return after
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """With more documents; an id that is there gains lines."""
-        both = self.posted.unionByName(postings(docs, self.min_chars, self.id_col)).groupBy("k1", "k2", "doc").agg(F.sum("n").alias("n"))
-        return LineIndex(self.spark, materialise(both, "line-postings"), self.min_chars, self.min_docs, self.id_col)
+        new = materialise(postings(docs, self.min_chars, self.id_col), "line-postings")
+        gone = [*self.gone, *[None] * (len(self.parts) - len(self.gone))]
+        return self._changed([*self.parts, new], gone, new)
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """Without the documents of the ids in the first column of `ids`: as if they had never been inserted."""
-        gone = ids.select(F.col(ids.columns[0]).cast("long").alias("doc")).distinct()
-        return LineIndex(self.spark, materialise(self.posted.join(gone, "doc", "left_anti").select("k1", "k2", "doc", "n"), "line-postings"), self.min_chars, self.min_docs, self.id_col)
+        """Without the documents of the ids in the first column of `ids`: as if they had never been inserted. A null id is that of documents without one."""
+        gone = materialise(ids.select(id_key(ids.columns[0]).alias("doc")).distinct(), "line-deleted")
+        empty = self.parts[0].limit(0)
+        return self._changed([*self.parts, empty], [*self.gone, *[None] * (len(self.parts) - 1 - len(self.gone)), gone], self.posted.join(gone, "doc", "left_semi"))
 
     def save(self, path: str | None = None) -> str:
+        """Write the state; postings are put together, without what was deleted."""
         path = path or new_path(self.spark, "line-index")
-        self.posted.write.mode("overwrite").parquet(f"{path}/postings")
-        self.filters.write.mode("overwrite").parquet(f"{path}/filters")
+        for name, table in (("postings", self.posted), ("counts", self.counted), ("filters", self.filters)):
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+        rules = [(self.shards, self.min_chars, self.min_docs, self.id_col)]
+        self.spark.createDataFrame(rules, "shards int, min_chars int, min_docs int, id_col string").write.mode("overwrite").parquet(f"{path}/rules")
         return path
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LineIndex:
+        r = spark.read.parquet(f"{path}/rules").first()
+        posted, counted, filters = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "counts", "filters"))
+        return cls(spark, [posted], [], counted, filters, r["shards"], r["min_chars"], r["min_docs"], r["id_col"])
+
     def dropped(self) -> DataFrame:
         """(doc, keys): the keys whose lines each document loses, 16 bytes each."""
         found = suspects(self.posted, self.filters, self.shards).join(self.counted, ["k1", "k2"]).where("doc < keeper")
         return found.groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("__keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """The documents, all columns, their text without the dropped lines, with __n_lines, __n_dropped and __sha256."""
-        columns = docs.columns
-        named = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+        """The documents, all columns, their text without the dropped lines, with __n_lines, __n_dropped and __sha256.
+
+        Columns of the documents with these names give way to the new ones.
+        """
+        columns = [c for c in docs.columns if c not in ADDED]
+        named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
         at, key = columns.index("text"), f"c{columns.index(self.id_col)}"
         joined = named.withColumn("__doc", id_key(key)).join(self.dropped().withColumnRenamed("doc", "__doc"), "__doc", "left").select(*named.columns, "__keys")
         min_chars = self.min_chars
@@ -228,7 +319,7 @@ class LineIndex:
                     drops.append(k)
                     digests.append(hashlib.sha256(text).hexdigest())
                 arrays = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in range(len(columns))]
-                yield pa.record_batch([*arrays, pa.array(lines, pa.int64()), pa.array(drops, pa.int64()), pa.array(digests, pa.string())], names=[*(f"c{i}" for i in range(len(columns))), "__n_lines", "__n_dropped", "__sha256"])
+                yield pa.record_batch([*arrays, pa.array(lines, pa.int64()), pa.array(drops, pa.int64()), pa.array(digests, pa.string())], names=[*(f"c{i}" for i in range(len(columns))), *ADDED])
 
         schema = named.schema.add("__n_lines", "long").add("__n_dropped", "long").add("__sha256", "string")
-        return joined.mapInArrow(run, schema).toDF(*columns, "__n_lines", "__n_dropped", "__sha256")
+        return joined.mapInArrow(run, schema).toDF(*columns, *ADDED)

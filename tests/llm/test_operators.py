@@ -64,12 +64,37 @@ def test_line_dedup(docs, rows, none):
     assert out.columns[:5] == docs.columns
     got = [tuple(r) for r in out.select("doc_id", "__n_lines", "__n_dropped", "__sha256").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and any(w[2] for w in want)
-    some = docs.where("doc_id % 2 = 0")
-    back = line_dedup.LineIndex.build(some).insert(docs.where("doc_id % 2 <> 0")).delete(docs.where("doc_id % 2 <> 0").select("doc_id"))
-    assert sorted(map(tuple, back.posted.collect())) == sorted(map(tuple, line_dedup.postings(some).collect()))
+    clash = docs.withColumn("__n_lines", F.lit(1)).withColumn("__sha256", F.lit("x"))
+    assert sorted((tuple(r) for r in index.apply(clash).select("doc_id", "__n_lines", "__n_dropped", "__sha256").collect()), key=repr) == sorted(want, key=repr)
+    # Filters too large to be sent meet the postings in their shards.
+    far = line_dedup.suspects(index.posted, index.filters, index.shards, broadcast_bytes=0)
+    assert sorted(map(tuple, far.collect())) == sorted(map(tuple, line_dedup.suspects(index.posted, index.filters, index.shards).collect()))
     assert line_dedup.LineIndex.build(none).apply(none).count() == 0
 
 
+def test_line_index_changes_equal_a_rebuild(spark, docs):
+    line = lambda i: f"a line of forty characters and more, no {i:04d}"
+    many = spark.createDataFrame([(d, "\n".join(line(i) for i in range(60) if (i + d) % (2 + i % 7) == 0)) for d in range(100, 160)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(many)
+
+    def state(index):
+        found = sorted(map(tuple, line_dedup.suspects(index.posted, index.filters, index.shards).join(index.counted, ["k1", "k2"]).select("k1", "k2", "doc", "docs", "keeper").collect()))
+        return sorted(map(tuple, index.posted.select("k1", "k2", "doc", "n").collect())), sorted(map(tuple, index.counted.select("k1", "k2", "docs", "keeper").collect())), found
+
+    even, odd = both.where("doc_id % 2 = 0"), both.where("doc_id % 2 <> 0 OR doc_id IS NULL")
+    index = line_dedup.LineIndex.build(even)
+    start = state(index)
+    whole = index.insert(odd)
+    assert state(whole) == state(line_dedup.LineIndex.build(both)) and state(index) == start
+    back = whole.delete(odd.select("doc_id"))
+    assert state(back) == start
+    again = line_dedup.LineIndex.load(spark, back.insert(odd).delete(even.select("doc_id")).save())
+    assert state(again) == state(line_dedup.LineIndex.build(odd))
+    # Deleted keys left the filters.
+    before, after = (sum(np.count_nonzero(np.frombuffer(r["filter"], np.uint16)) for r in i.filters.collect()) for i in (whole, back))
+    assert after < before and after == back.counted.count()
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(1).integers(0, 2**62, 3000)
     f = line_dedup.CuckooFilter.of(keys)

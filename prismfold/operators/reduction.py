@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spectra import Spectra
-from .preprocess import map_rows
+from .preprocess import map_rows, rectangle
 
 
 def gram(df: DataFrame, y: str, extra: tuple[str, ...] = ()) -> tuple[int, np.ndarray, np.ndarray]:
@@ -26,7 +26,7 @@ def gram(df: DataFrame, y: str, extra: tuple[str, ...] = ()) -> tuple[int, np.nd
         out = None
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(0).to_pylist(), float)
+                x = rectangle(b.column(0))
                 x = np.hstack([np.ones((len(x), 1)), x])
                 out = x.T @ x if out is None else out + x.T @ x
         if out is not None:

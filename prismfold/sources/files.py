@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..spectra import Spectra
+from ..spectra import Spectra, numbered, stored
 
-SCHEMA = "filename string, spectrum string, orient string, axis array<double>, y array<double>"
+SCHEMA = "filename string, spectrum string, orient string, axis array<double>, y array<double>, skipped long"
 
 
 def is_wavenumber(values) -> bool:
@@ -25,51 +27,66 @@ def is_wavenumber(values) -> bool:
 
 
 def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    h = np.diff(x)
+    """Cubic spline with zero second derivatives at the ends, straight beyond them. Its second derivatives solve a tridiagonal system."""
     n = len(x)
-    a = np.zeros((n, n))
-    b = np.zeros(n)
-    a[0, 0] = a[-1, -1] = 1
+    if n < 2:
+        return np.full(len(at), y[0] if n else np.nan)
+    h = np.diff(x)
+    slope = np.diff(y) / h
+    m = np.zeros(n)
+    # Elimination from the left, then substitution from the right.
+    upper, value = np.zeros(n), np.zeros(n)
     for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    m = np.linalg.solve(a, b)
+        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * upper[i - 1]
+        upper[i] = h[i] / pivot
+        value[i] = (6 * (slope[i] - slope[i - 1]) - h[i - 1] * value[i - 1]) / pivot
+    for i in range(n - 2, 0, -1):
+        m[i] = value[i] - upper[i] * m[i + 1]
     i = np.clip(np.searchsorted(x, at) - 1, 0, n - 2)
     p, q = x[i + 1] - at, at - x[i]
     inside = (m[i] * p**3 + m[i + 1] * q**3) / (6 * h[i]) + (y[i] / h[i] - m[i] * h[i] / 6) * p + (y[i + 1] / h[i] - m[i + 1] * h[i] / 6) * q
-    left = y[0] + (at - x[0]) * ((y[1] - y[0]) / h[0] - h[0] * m[1] / 6)
-    right = y[-1] + (at - x[-1]) * ((y[-1] - y[-2]) / h[-1] + h[-1] * m[-2] / 6)
+    left = y[0] + (at - x[0]) * (slope[0] - h[0] * m[1] / 6)
+    right = y[-1] + (at - x[-1]) * (slope[-1] + h[-1] * m[-2] / 6)
     return np.where(at < x[0], left, np.where(at > x[-1], right, inside))
 
 
-def parse(text: str, sep: str | None = None) -> tuple[str, list[tuple[str, np.ndarray, np.ndarray]]]:
-    """Orientation and (name, axis, values) of the spectra in a file of any layout."""
-    rows = []
-    for line in text.splitlines():
-        fields = line.split(sep) if sep else line.replace(",", "\t").split()
+def fields(line: str, sep: str | None = None) -> list[str]:
+    """The fields of a line; without a given separator, between tabs, else commas or semicolons, else white space. Empty fields stay between marks."""
+    for mark in (sep,) if sep else ("\t", ",", ";"):
+        if mark in line:
+            return [f.strip() for f in line.rstrip("\r\n").split(mark)]
+    return line.split()
+
+
+def parse(text: str, sep: str | None = None) -> tuple[str, list[tuple[str, np.ndarray, np.ndarray]], int]:
+    """Orientation, (name, axis, values) of the spectra in a file of any layout, and the number of lines after the first that are not numbers."""
+    rows, skipped = [], 0
+    for k, line in enumerate(text.splitlines()):
+        if not line.strip():
+            continue
         try:
-            rows.append([float(f) if f not in ("", "NA") else np.nan for f in fields])
+            rows.append([float(f) if f not in ("", "NA") else np.nan for f in fields(line, sep)])
         except ValueError:
-            continue
+            skipped += k > 0
     width = max(map(len, rows), default=0)
     m = np.array([r + [np.nan] * (width - len(r)) for r in rows]).reshape(len(rows), width)
     if not m.size:
-        return "empty", []
+        return "empty", [], skipped
     orient = "column"
     if m.shape[1] > 5 and is_wavenumber(m[0]) and not is_wavenumber(m[:, 0]):
         m, orient = m.T, "row"
     if is_wavenumber(m[:, 0]):
         if m.shape[1] == 2:
-            return orient, [("", m[:, 0], m[:, 1])]
-        return orient, [(str(k), m[:, 0], m[:, k]) for k in range(1, m.shape[1])]
+            return orient, [("", m[:, 0], m[:, 1])], skipped
+        return orient, [(str(k), m[:, 0], m[:, k]) for k in range(1, m.shape[1]) if np.isfinite(m[:, k]).any()], skipped
     if m.shape[1] < 3:
-        return "unknown", []
+        return "unknown", [], skipped
     keys, wave, value = m[:, :-2], m[:, -2], m[:, -1]
     axis = np.unique(wave[np.isfinite(wave)])
     out: dict[str, np.ndarray] = {}
     for k, w, v in zip(keys, wave, value, strict=True):
         out.setdefault("_".join(f"{x:g}" for x in k), np.full(len(axis), np.nan))[np.searchsorted(axis, w)] = v
-    return "coordinates", [(k, axis, v) for k, v in out.items()]
+    return "coordinates", [(k, axis, v) for k, v in out.items()], skipped
 
 
 def read_spectra(spark: SparkSession, path: str, file_type: str = "txt", sep: str | None = None, cutoff: tuple[float, float] = (500, 3150), interpolation: bool = False) -> DataFrame:
@@ -81,7 +98,9 @@ def read_spectra(spark: SparkSession, path: str, file_type: str = "txt", sep: st
         for b in batches:
             rows = []
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                orient, found = parse(content.decode("utf-8", "replace"), sep)
+                orient, found, skipped = parse(content.decode("utf-8", "replace"), sep)
+                if not found:  # the file is named, with what is known of it
+                    rows.append((name, None, orient, None, None, skipped))
                 for key, x, y in found:
                     order = np.argsort(x, kind="stable")
                     x, y = x[order], y[order]
@@ -92,10 +111,10 @@ def read_spectra(spark: SparkSession, path: str, file_type: str = "txt", sep: st
                         x, y = at, natural_spline(x[ok], y[ok], at)
                     else:
                         x, y = x[keep], y[keep]
-                    rows.append((name, key, orient, x.tolist(), [None if np.isnan(v) else v for v in y.tolist()]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["filename", "spectrum", "orient", "axis", "y"])
+                    rows.append((name, key, orient, x.tolist(), [None if np.isnan(v) else v for v in y.tolist()], skipped))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["filename", "spectrum", "orient", "axis", "y", "skipped"])
 
     return files.mapInArrow(run, SCHEMA)
 
@@ -141,17 +160,45 @@ def complete(long: DataFrame, keys: list[str], pos: str, value: str, fill: float
 
 
 def build(df: DataFrame, axis_column: str = "axis") -> dict[int, Spectra]:
-    """A collection for each axis length, ids numbered within it by file and spectrum name."""
+    """A collection for each axis length, ids numbered from 0 within it by file and spectrum name, on the most common axis."""
     out = {}
-    for (n,) in df.select(F.size(axis_column)).distinct().collect():
+    for (n,) in df.where(F.col(axis_column).isNotNull()).select(F.size(axis_column)).distinct().orderBy(F.size(axis_column)).collect():
         part = df.where(F.size(axis_column) == n)
-        axis = part.select(axis_column).first()[0]
-        # zipWithIndex-like ids from a hash of the name keep this narrow.
-        ids = F.abs(F.xxhash64("filename", "spectrum"))
-        out[n] = Spectra.of(part.withColumn("spectrum_id", ids).withColumnRenamed("y", "raw_data"), axis)
+        axis = part.groupBy(axis_column).count().orderBy(F.desc("count"), axis_column).first()[0]
+        # Names that are numbers are ordered as such.
+        keyed = part.withColumn("__number", F.try_to_number("spectrum", F.lit("999999999999")).cast("double"))
+        out[n] = Spectra.of(numbered(keyed, ["filename", "__number", "spectrum"], "spectrum_id").drop("__number").withColumnRenamed("y", "raw_data"), axis)
     return out
 
 
+def read_collection(
+    spark: SparkSession, path: str, file_type: str = "txt", sep: str | None = None, group_index: tuple[int, ...] = (1,), group_names: tuple[str, ...] = ("Group",),
+    group_levels: tuple[str, ...] | None = None, group_splits: str = "/|_", cutoff: tuple[float, float] = (500, 3150), interpolation: bool = False,
+) -> Spectra | dict[int, Spectra]:
+    """A folder of text files as a collection, or one for each axis length where lengths differ.
+
+    File names are relative to the folder; their parts give the group columns. Spectra of one length on different
+    axes are put together and told apart by the column `batch`. With `group_levels`, other groups become null.
+    Files without spectra are left out; an empty folder is an error.
+    """
+    read = stored(read_spectra(spark, path, file_type, sep, cutoff, interpolation))
+    if read.isEmpty():
+        raise FileNotFoundError(f"no {file_type} files below {path}")
+    plain = lambda c: F.regexp_replace(c, "^[A-Za-z0-9]+:(//[^/]*)?", "")
+    base = re.sub("^[A-Za-z0-9]+:(//[^/]*)?", "", path).rstrip("/") if ":" in path else os.path.abspath(path)
+    name = F.when(plain("filename").startswith(base + "/"), F.expr(f"substring(regexp_replace(filename, '^[A-Za-z0-9]+:(//[^/]*)?', ''), {len(base) + 2})")).otherwise(F.col("filename"))
+    found = groups_of(read.where("axis IS NOT NULL").withColumn("filename", name), group_index, group_splits, group_names)
+    if group_levels is not None:
+        found = found.withColumn("group", F.when(F.col("group").isin(list(group_levels)), F.col("group")))
+    out = {}
+    for n, s in build(found).items():
+        several = s.df.select("axis").distinct().limit(2).count() > 1
+        out[n] = Spectra.of((batches(s.df) if several else s.df).drop("axis"), s.axis)
+    if not out:
+        raise ValueError(f"no file below {path} holds spectra")
+    return out if len(out) > 1 else next(iter(out.values()))
+
+
 def write_tsv(df: DataFrame, path: str, partition: list[str] | None = None, order: list[str] | None = None) -> None:
     """One folder for each key; rows sorted within it. Inputs stay."""
     out = df.repartition(*partition) if partition else df

@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where the session names none and runs on this machine alone."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="prismfold-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again, so that what follows neither repeats nor loses it."""
+    path = f"{shared_folder(df.sparkSession)}/spectra-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """The rows with numbers from 0 in this order, without gaps: ranges are numbered each for itself, behind the counts of those before."""
+    spread = stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    counts = spread.groupBy("__p").agg(F.count("*").alias("n"))  # a row for each range
+    before = counts.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return spread.withColumn("__i", place).join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")
+
+
 @dataclass(frozen=True)
 class Spectra:
     """A DataFrame with spectrum_id, group and stage columns. The current stage is the one last written."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import erf, exp, lgamma, log, sqrt
+from itertools import accumulate
+from math import erf, exp, inf, lgamma, log, sqrt
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -87,3 +88,33 @@ def chi2_quantile(p: float, k: float) -> float:
 
 def f_quantile(p: float, a: float, b: float) -> float:
     return quantile(lambda x: f_cdf(x, a, b), p)
+
+
+def adjust(p, method: str = "bonferroni") -> list[float]:
+    """p values adjusted for their number: holm, hochberg, hommel, bonferroni, BH (or fdr), BY or none."""
+    n, order = len(p), sorted(range(len(p)), key=lambda i: p[i])
+    up = [p[i] for i in order]
+    if method == "none":
+        out = up
+    elif method == "bonferroni":
+        out = [n * x for x in up]
+    elif method == "holm":
+        out = list(accumulate(((n - k) * x for k, x in enumerate(up)), max))
+    elif method in ("hochberg", "BH", "fdr", "BY"):
+        scale = sum(1 / k for k in range(1, n + 1)) if method == "BY" else 1.0
+        factor = (lambda k: n - k) if method == "hochberg" else lambda k: scale * n / (k + 1)
+        out = list(accumulate((factor(k) * up[k] for k in reversed(range(n))), min))[::-1]
+    elif method == "hommel":
+        # The closure of Simes tests: the worst set of each size holds a value and the largest of the others.
+        out = list(up)
+        for m in range(1, n + 1):
+            top = up[n - m :]
+            simes = min(m * x / (k + 1) for k, x in enumerate(top))
+            others = min((m * x / (k + 2) for k, x in enumerate(top[1:])), default=inf)
+            out = [max(v, simes if k >= n - m else min(m * up[k], others)) for k, v in enumerate(out)]
+    else:
+        raise ValueError(f"no adjustment named {method}")
+    back = [0.0] * n
+    for k, i in enumerate(order):
+        back[i] = min(1.0, out[k])
+    return back

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import chi2_cdf, f_cdf
-from ..spectra import Spectra
+from ..functions.distributions import adjust, chi2_cdf, f_cdf, normal_cdf, t_two_sided
+from ..spectra import Spectra, numbered
+from .preprocess import bubble_baseline, iterative_polyfit
 from .reduction import components, moments
 
 
@@ -50,9 +51,28 @@ def numeric_label(group: Column) -> Column:
     return F.regexp_replace(group, "[^0-9]", "").cast("double")
 
 
-def correlations(s: Spectra, least: float = 0.8) -> DataFrame:
-    """Pearson correlation of each axis point with the group's number."""
-    long = s.long().withColumn("label", numeric_label(F.col("group")))
+def average_spectra(s: Spectra, min_range: float = 30) -> tuple[list[str], np.ndarray]:
+    """Groups and their mean spectra, each cut at the bubble bands of the group that has most, less a parabola in each part."""
+    rows = s.long().groupBy("group", "pos").agg(F.avg("value").alias("m")).orderBy("group", "pos").collect()  # groups x axis points
+    groups = sorted({r["group"] for r in rows if r["group"] is not None})
+    means = np.array([[r["m"] for r in rows if r["group"] == g] for g in groups], float)
+    bands = [sorted(x for x in bubble_baseline(y, min_range)[1] if 3 < x[1] - x[0] < min_range) for y in means]
+    cuts = sorted({a for a, _ in max(bands, key=len, default=[])} - {0})
+    edges = [0, *cuts, means.shape[1]] if len(means) else []
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b - a > 2:
+            means[:, a:b] -= iterative_polyfit(means[:, a:b], 2)
+    return groups, means
+
+
+def correlations(s: Spectra, least: float = 0.8, by_average: bool = False, min_range: float = 30) -> DataFrame:
+    """Pearson correlation of each axis point with the group's number, over spectra or over the groups' average spectra."""
+    if by_average:
+        groups, means = average_spectra(s, min_range)
+        rows = [(g, p, float(s.axis[p]), float(v)) for g, y in zip(groups, means, strict=True) for p, v in enumerate(y)]
+        long = s.df.sparkSession.createDataFrame(rows, "group string, pos int, wavenumber double, value double").withColumn("label", numeric_label(F.col("group")))
+    else:
+        long = s.long().withColumn("label", numeric_label(F.col("group")))
     return long.groupBy("pos", "wavenumber").agg(F.corr("value", "label").alias("r")).where(F.abs("r") > least)
 
 
@@ -104,6 +124,79 @@ def kruskal(s: Spectra) -> DataFrame:
     return h.select("pos", stat.alias("h_value"), p(stat, F.col("k")).alias("p_value"))
 
 
+def rank_sums(s: Spectra) -> DataFrame:
+    """(pos, group, r, n, t): sum of ascending mid-ranks, rows, and the sum of m^3 - m over the ties of the point."""
+    counts = s.long().where("value IS NOT NULL").groupBy("pos", "value", "group").agg(F.count("*").alias("n"))
+    values = counts.groupBy("pos", "value").agg(F.sum("n").alias("m"))
+    below = Window.partitionBy("pos").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = values.withColumn("rank", F.coalesce(F.sum("m").over(below), F.lit(0)) + (F.col("m") + 1) / 2)
+    ties = values.groupBy("pos").agg(F.sum(F.pow("m", F.lit(3)) - F.col("m")).alias("t"))
+    return counts.join(ranks, ["pos", "value"]).groupBy("pos", "group").agg(F.sum(F.col("rank") * F.col("n")).alias("r"), F.sum("n").alias("n")).join(ties, "pos")
+
+
+def _two_groups(n, m, v, rank, total, tie) -> tuple[float, float, float]:
+    low = f_cdf(v[0] / v[1], n[0] - 1, n[1] - 1)
+    variances = 2 * min(low, 1 - low)
+    share = v / n
+    if variances < 0.01:
+        t, df = (m[0] - m[1]) / np.sqrt(share.sum()), share.sum() ** 2 / (share**2 / (n - 1)).sum()
+    else:
+        df = total - 2
+        t = (m[0] - m[1]) / np.sqrt(((n - 1) * v).sum() / df * (1 / n).sum())
+    w = rank[0] - n[0] * (n[0] + 1) / 2
+    z = (w - n[0] * n[1] / 2) / np.sqrt(max(n[0] * n[1] * (total + 1) / 12 * tie, 1e-300))
+    return variances, t_two_sided(float(t), float(df)), 2 * normal_cdf(-abs(float(z)))
+
+
+def _many_groups(n, m, v, rank, total, tie) -> tuple[float, float, float]:
+    k = len(n)
+    pooled = ((n - 1) * v).sum() / (total - k)
+    bartlett = ((total - k) * np.log(pooled) - ((n - 1) * np.log(v)).sum()) / (1 + ((1 / (n - 1)).sum() - 1 / (total - k)) / (3 * (k - 1)))
+    variances = 1 - chi2_cdf(float(bartlett), k - 1)
+    if variances < 0.01:
+        w = n / v
+        grand = (w * m).sum() / w.sum()
+        excess = ((1 - w / w.sum()) ** 2 / (n - 1)).sum() / (k * k - 1)
+        f, df = (w * (m - grand) ** 2).sum() / (k - 1) / (1 + 2 * (k - 2) * excess), 1 / (3 * excess)
+    else:
+        f, df = (n * (m - (n * m).sum() / total) ** 2).sum() / (k - 1) / pooled, total - k
+    h = (12 / (total * (total + 1)) * (rank**2 / n).sum() - 3 * (total + 1)) / max(tie, 1e-300)
+    return variances, 1 - f_cdf(float(f), k - 1, float(df)), 1 - chi2_cdf(float(h), k - 1)
+
+
+def between_groups(s: Spectra, method: str = "bonferroni") -> DataFrame:
+    """Tests of each axis point between groups, with p values adjusted over the points.
+
+    Two groups: means, deviations, F test of variances, t test (Welch's where variances differ at 0.01) and Wilcoxon
+    rank sums by the normal approximation. More: means, Bartlett's test, one-way test (Welch's likewise) and
+    Kruskal-Wallis. Spark makes a row for each point and group; the tests themselves are few numbers on the driver.
+    """
+    g = s.long().where("value IS NOT NULL").groupBy("pos", "group").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"))
+    rows: dict[int, list] = {}
+    for r in g.join(rank_sums(s), ["pos", "group"]).orderBy("pos", "group").collect():
+        rows.setdefault(r["pos"], []).append(r)
+    groups = sorted({r["group"] for x in rows.values() for r in x})
+    if len(groups) < 2:
+        raise ValueError("at least two groups are needed")
+    names = ("var_test", "t_test", "wilcoxon_test") if len(groups) == 2 else ("var_test", "oneway_test", "kruskal_test")
+    out = []
+    for pos, x in sorted(rows.items()):
+        n, m, v, rank = (np.array([float(r[c]) for r in x]) for c in ("n", "m", "v", "r"))
+        total, tie = n.sum(), 1 - float(x[0]["t"]) / max(n.sum() ** 3 - n.sum(), 1.0)
+        tests = (_two_groups if len(groups) == 2 else _many_groups)(n, m, v, rank, total, tie) if len(x) == len(groups) and n.min() > 1 and v.min() > 0 else (float("nan"),) * 3
+        by = {r["group"]: r for r in x}
+        spread = [float(by[k]["v"]) ** 0.5 if k in by and by[k]["v"] is not None else None for k in groups] if len(groups) == 2 else []
+        out.append([pos, float(s.axis[pos]), *[float(by[k]["m"]) if k in by else None for k in groups], *spread, *map(float, tests)])
+    for _ in range(2):  # the last two tests: each turn adds a column, so that -2 is the other one then
+        p = [r[-2] for r in out]
+        known = [k for k, value in enumerate(p) if value == value]
+        fixed = dict(zip(known, adjust([p[k] for k in known], method), strict=True))
+        for k, r in enumerate(out):
+            r.append(fixed.get(k, float("nan")))
+    columns = ["pos int", "wavenumber double", *[f"`mean_{k}` double" for k in groups], *([f"`sd_{k}` double" for k in groups] if len(groups) == 2 else []), *[f"{k} double" for k in names], *[f"{k}_adjusted double" for k in names[1:]]]
+    return s.df.sparkSession.createDataFrame(out, ", ".join(columns))
+
+
 def permutation_importance(s: Spectra, trees: int = 100, threshold: float = 0.002, seed: int = 42) -> DataFrame:
     """Loss of held-out accuracy when a column is shuffled, of a random forest over five folds' training part."""
     from pyspark.ml.classification import RandomForestClassifier
@@ -116,9 +209,11 @@ def permutation_importance(s: Spectra, trees: int = 100, threshold: float = 0.00
     model = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=5).fit(data.where("fold > 1").withColumn("features", array_to_vector("y")))
     held = data.where("fold = 1").select("label", "y")
     n = len(s.axis)
-    # A column is shuffled by giving each held-out row the value of another, at a fixed distance in hash order.
-    order = Window.orderBy(F.md5(F.col("y").cast("string")))  # held-out rows only: a fifth of a training table
-    placed = held.withColumn("__other", F.coalesce(F.lead("y", 1).over(order), F.first("y").over(order)))
+    # A column is shuffled by giving each held-out row the value of the next in hash order, the last that of the first.
+    placed = numbered(held.withColumn("__hash", F.md5(F.col("y").cast("string"))), ["__hash"], "__at")
+    last = placed.agg(F.max("__at")).first()[0] or 0
+    other = placed.select(F.pmod(F.col("__at") - 1, F.lit(last + 1)).alias("__at"), F.col("y").alias("__other"))
+    placed = placed.join(other, "__at").drop("__at", "__hash")
     many = placed.select("label", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("pos"), "y", "__other")
     mixed = many.withColumn("y", F.expr("transform(y, (v, i) -> CASE WHEN i = pos THEN element_at(__other, i + 1) ELSE v END)"))
     scored = model.transform(mixed.withColumn("features", array_to_vector("y"))).groupBy("pos").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))

@@ -9,8 +9,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..spectra import Spectra
-from .preprocess import map_rows
+from ..spectra import Spectra, stored
+from .preprocess import map_rows, rectangle
 from .reduction import components, gram, moments
 
 
@@ -21,8 +21,8 @@ def _sums(df: DataFrame, y: str, scores: str | None, fn) -> dict[int, np.ndarray
         out = None
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(0).to_pylist(), float)
-                w = np.array(b.column(1).to_pylist(), float) if scores else None
+                x = rectangle(b.column(0))
+                w = rectangle(b.column(1)) if scores else None
                 m = fn(x, w)
                 out = m if out is None else out + m
         if out is not None:
@@ -32,42 +32,46 @@ def _sums(df: DataFrame, y: str, scores: str | None, fn) -> dict[int, np.ndarray
     return np.array([r["row"].toArray() for r in rows])
 
 
-def nmf(s: Spectra, n_comp: int = 2, max_iter: int = 100, tol: float = 1e-4, seed: int = 42) -> tuple[DataFrame, np.ndarray, list[float]]:
-    """Multiplicative updates, H before W. W is not stored between rounds: each round derives a row's W from the
-    row by the updates so far, which need only the small matrices of earlier rounds.
+def nmf(s: Spectra, n_comp: int = 2, max_iter: int = 100, tol: float = 1e-4, seed: int = 42, keep: int = 10) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """Multiplicative updates, H before W. W is stored every `keep` rounds; between them a row's W is derived from
+    the stored one by the updates since, which need only the small matrices of those rounds.
 
-    Returns (spectrum_id, W), H and the error before each round.
+    Returns (spectrum_id, W), H and the error before each round; ends where the error falls by less than `tol` of itself.
     """
     p = len(s.axis)
     rng = np.random.default_rng(seed)
     h = rng.random((n_comp, p)) + 0.1
     start = rng.random((p, n_comp)) / p + 1e-3
+    df = map_rows(s.df.select("spectrum_id", F.transform(s.y, lambda v: F.greatest(v, F.lit(0.0))).alias("x")), "x", "W", lambda x: x @ start + 1e-3)
     steps: list[np.ndarray] = []
-    df = s.df.select("spectrum_id", F.transform(s.y, lambda v: F.greatest(v, F.lit(0.0))).alias("x"))
 
-    def weights(x: np.ndarray, upto: list[np.ndarray]) -> np.ndarray:
-        w = x @ start + 1e-3
-        for m in upto:
+    def update(x: np.ndarray, w: np.ndarray, by: list[np.ndarray]) -> np.ndarray:
+        for m in by:
             w = w * (x @ m.T) / (w @ (m @ m.T) + 1e-9)
         return w
 
+    def advance(df: DataFrame, by: list[np.ndarray]) -> DataFrame:
+        both = df.select("spectrum_id", "x", F.concat("x", "W").alias("__xw"))
+        return map_rows(both, "__xw", "W", lambda xw: update(xw[:, :p], xw[:, p:], by)).select("spectrum_id", "x", "W")
+
     errors: list[float] = []
     for _ in range(max_iter):
+        if len(steps) == keep:
+            df, steps = stored(advance(df, steps)), []
         now = list(steps)
 
-        def parts(x, _, now=now):
-            w = weights(x, now)
+        def parts(x, w, now=now):
+            w = update(x, w, now)
             return np.hstack([w.T @ x, w.T @ w, np.full((n_comp, 1), (x * x).sum())])
 
-        m = _sums(df, "x", None, parts)
+        m = _sums(df, "x", "W", parts)
         wx, ww, xx = m[:, :p], m[:, p : p + n_comp], m[0, -1]
         errors.append(float(np.sqrt(max(xx - 2 * (wx * h).sum() + (h * (ww @ h)).sum(), 0))))
-        if errors[-1] < tol:
+        if errors[-1] < tol or len(errors) > 2 and 0 <= errors[-2] - errors[-1] < tol * errors[-1]:
             break
         h = h * wx / (ww @ h + 1e-9)
         steps.append(h.copy())
-    out = map_rows(df, "x", "W", lambda x: weights(x, steps)).select("spectrum_id", "W")
-    return out, h, errors
+    return advance(df, steps).select("spectrum_id", "W"), h, errors
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:

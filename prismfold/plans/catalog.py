@@ -7,15 +7,15 @@ Doubles are rounded on both sides; arrays are given point by point.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster, correlation, decompose, markers, models, preprocess, quality, reduction, stats
 from ..sources import files
-from ..spectra import Spectra, take
+from ..spectra import Spectra, shared_folder
 
 POINTS = 64
 AXIS = tuple(float(500 + 42 * i) for i in range(POINTS))
@@ -156,20 +156,23 @@ _normal("max", "max(v) OVER s")
 _normal("ch", "max(v) FILTER (WHERE w > 2850 AND w < 3000) OVER s")
 
 
-def _baseline_sql() -> str:
-    axis = np.array(AXIS)
-    high, sup = np.flatnonzero(axis >= 1790), preprocess.high_support(axis)
-    b = preprocess.least_squares_baseline(axis, sup, high, 6)
-    values = ", ".join(f"({h}, {s}, {w!r}::DOUBLE)" for h, row in zip(high.tolist(), b.tolist(), strict=True) for s, w in zip(sup.tolist(), row, strict=True))
-    return L + f""", b(pos, sup, weight) AS (VALUES {values})
-    SELECT a.spectrum_id, a.pos - {high[0]} AS pos, a.w::DOUBLE AS wavenumber, round(a.v - f.t, 5) + 0.0 AS value FROM l a
-    JOIN (SELECT l.spectrum_id, b.pos, sum(l.v * b.weight) AS t FROM b JOIN l ON l.pos = b.sup GROUP BY 1, 2) f USING (spectrum_id, pos)"""
+#: The support of the fit above 1790: 1790 to 2065, 2300 to 2633, the point nearest 2783, and the last.
+_SUPPORT = "(pos BETWEEN 31 AND 37 OR pos BETWEEN 43 AND 50 OR pos IN (54, 63))"
 
 
-@query(_baseline_sql())
+@query(f"""SELECT spectrum_id, power, true AS orthogonal, true AS sixth_order FROM l CROSS JOIN (SELECT unnest(range(7))::INT AS power) WHERE pos = 0 AND (SELECT count(DISTINCT pos) FROM l WHERE {_SUPPORT}) = 17""")
 def baseline_least_squares(spark, sf_dir):
+    """Holds the fit against its definition: what is left at the support is orthogonal to all powers up to the sixth, and
+    what is taken away is a polynomial of the sixth order, whose seventh differences vanish on the even axis."""
     s = preprocess.baseline_linear(spectra(spark, sf_dir))
-    return s.long(()).select("spectrum_id", "pos", "wavenumber", r("value", 5).alias("value"))
+    left = s.long(()).withColumn("x", (F.col("wavenumber") - 2468) / 678)
+    at = F.expr(_SUPPORT.replace("pos", "(pos + 31)"))
+    powers = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("power")
+    dots = left.where(at).select("spectrum_id", "x", "value", powers).groupBy("spectrum_id", "power").agg(F.abs(F.sum(F.col("value") * F.pow("x", F.col("power")))).alias("dot"))
+    base = s.df.select("spectrum_id", F.zip_with(F.slice("raw_data", 32, 33), "baseline_data", lambda a, b: a - b).alias("b"))
+    weights = (1, -7, 21, -35, 35, -21, 7, -1)
+    seventh = F.transform(F.sequence(F.lit(1), F.lit(26)), lambda i: F.abs(sum((F.element_at("b", i + k) * w for k, w in enumerate(weights)), F.lit(0.0))))
+    return dots.join(base.select("spectrum_id", F.array_max(seventh).alias("d")), "spectrum_id").select("spectrum_id", "power", (F.col("dot") < 1e-6).alias("orthogonal"), (F.col("d") < 1e-6).alias("sixth_order"))
 
 
 @query()
@@ -266,7 +269,7 @@ def class_errors(spark, sf_dir):
 
 _AUC = """, k AS (SELECT *, rank() OVER (PARTITION BY {key} ORDER BY v DESC) + (count(*) OVER (PARTITION BY {key}, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {key}) AS t FROM {src})
 SELECT {key}, grp AS "group", round((sum(rk) - count(*) * (count(*) + 1) / 2.0) / (count(*) * (max(t) - count(*))), 6) AS auc FROM k GROUP BY {key}, grp HAVING (sum(rk) - count(*) * (count(*) + 1) / 2.0) / (count(*) * (max(t) - count(*))) > 0.75"""
-_PAIRS = """, q AS (SELECT a.spectrum_id, a.grp, a.label, a.pos - 8 AS i, b.pos - 8 AS j, a.v / b.v AS v FROM p a JOIN p b ON a.spectrum_id = b.spectrum_id AND a.pos {op} b.pos WHERE a.pos BETWEEN 8 AND 19 AND b.pos BETWEEN 8 AND 19)"""
+_PAIRS = """, q AS (SELECT a.spectrum_id, a.grp, a.label, a.pos AS i, b.pos AS j, a.v / b.v AS v FROM p a JOIN p b ON a.spectrum_id = b.spectrum_id AND a.pos {op} b.pos)"""
 
 
 @query(_AUC.format(key="pos", src="p"))
@@ -276,7 +279,7 @@ def markers_roc(spark, sf_dir):
 
 @query(_PAIRS.format(op="<") + _AUC.format(key="i, j", src="q"))
 def markers_roc_paired(spark, sf_dir):
-    return markers.roc_pairs(preprocess.cutoff(planted(spark, sf_dir), 800, 1340)).select("i", "j", "group", r("auc").alias("auc"))
+    return markers.roc_pairs(planted(spark, sf_dir)).select("i", "j", "group", r("auc").alias("auc"))
 
 
 @query("SELECT pos, w::DOUBLE AS wavenumber, round(corr(v, label), 6) AS r FROM p GROUP BY pos, w HAVING abs(corr(v, label)) > 0.8")
@@ -284,9 +287,9 @@ def markers_correlation(spark, sf_dir):
     return markers.correlations(planted(spark, sf_dir)).withColumn("r", r("r"))
 
 
-@query(_PAIRS.format(op="<>") + " SELECT i, j, round(corr(v, label), 6) AS r FROM q GROUP BY i, j HAVING abs(corr(v, label)) > 0.8")
+@query(_PAIRS.format(op="<>") + " SELECT i, j, round(corr(v, label), 6) AS r FROM q GROUP BY i, j HAVING abs(corr(v, label)) > 0.7")
 def markers_correlation_paired(spark, sf_dir):
-    return markers.correlations_pairs(preprocess.cutoff(planted(spark, sf_dir), 800, 1340)).withColumn("r", r("r"))
+    return markers.correlations_pairs(planted(spark, sf_dir), 0.7).withColumn("r", r("r"))
 
 
 @query("""SELECT vec_id AS spectrum_id, 'G' || label AS "group", (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) - 1) % 10 + 1 AS fold FROM embeddings""")
@@ -316,9 +319,34 @@ def between_groups_kruskal(spark, sf_dir):
     return markers.kruskal(planted(spark, sf_dir)).select("pos", r("h_value", 4).alias("h_value"))
 
 
+_TWO = """, t AS (SELECT pos, grp, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM p WHERE label IN (0, 9) GROUP BY 1, 2),
+k AS (SELECT pos, grp, rank() OVER (PARTITION BY pos ORDER BY v) + (count(*) OVER (PARTITION BY pos, v) - 1) / 2.0 AS rk FROM p WHERE label IN (0, 9)),
+w AS (SELECT pos, sum(rk) FILTER (WHERE grp = 'G0') AS r FROM k GROUP BY 1)
+SELECT a.pos, (500 + 42 * a.pos)::DOUBLE AS wavenumber, round(a.m, 6) AS "mean_G0", round(b.m, 6) AS "mean_G9", round(sqrt(a.s), 6) AS "sd_G0", round(sqrt(b.s), 6) AS "sd_G9",
+  (w.r - a.n * (a.n + 1) / 2.0 - a.n * b.n / 2.0) ** 2 / (a.n * b.n * (a.n + b.n + 1) / 12.0) > 3.841458820694124 AS ranks_differ
+FROM t a JOIN t b USING (pos) JOIN w USING (pos) WHERE a.grp = 'G0' AND b.grp = 'G9'"""
+
+
+@query(_TWO)
+def between_two_groups(spark, sf_dir):
+    s = planted(spark, sf_dir)
+    out = markers.between_groups(s[F.col("group").isin("G0", "G9")], "BH")
+    return out.select("pos", "wavenumber", *[r(c).alias(c) for c in ("mean_G0", "mean_G9", "sd_G0", "sd_G9")], (F.col("wilcoxon_test") < 0.05).alias("ranks_differ"))
+
+
+@query()
+def between_groups_adjusted(spark, sf_dir):
+    return markers.between_groups(planted(spark, sf_dir), "holm")
+
+
+@query()
+def markers_correlation_by_average(spark, sf_dir):
+    return markers.correlations(planted(spark, sf_dir), 0.5, by_average=True)
+
+
 @query()
 def markers_importance(spark, sf_dir):
-    return markers.permutation_importance(planted(spark, sf_dir), trees=20, threshold=-1.0)
+    return markers.permutation_importance(planted(spark, sf_dir), threshold=-1.0)
 
 
 @query()
@@ -436,6 +464,22 @@ def reduction_pca(spark, sf_dir):
     return reduction.pca(spectra(spark, sf_dir), 4).df.select("spectrum_id", F.posexplode("PCA").alias("component", "score"))
 
 
+@query(""", m AS (SELECT pos, avg(v) AS m, stddev_samp(v) AS d FROM l GROUP BY pos), z AS (SELECT spectrum_id, sum((v - m) * (v - m) / (d * d)) AS q FROM l JOIN m USING (pos) GROUP BY 1)
+SELECT spectrum_id, round(q, 5) AS squared_norm FROM z""")
+def reduction_pca_whole(spark, sf_dir):
+    """All components keep each scaled spectrum's distance from the mean."""
+    out = reduction.pca(spectra(spark, sf_dir), 64).df
+    return out.select("spectrum_id", r(F.aggregate("PCA", F.lit(0.0), lambda a, v: a + v * v), 5).alias("squared_norm"))
+
+
+@query("SELECT i, j, i = j AS correlated FROM (SELECT unnest(range(4))::INT AS i) CROSS JOIN (SELECT unnest(range(4))::INT AS j) WHERE i <= j")
+def reduction_pca_uncorrelated(spark, sf_dir):
+    """Scores have zero means and are uncorrelated, and their variances descend: pairs that are correlated are those of a component with itself."""
+    long = reduction.pca(spectra(spark, sf_dir), 4).df.select("spectrum_id", F.posexplode("PCA").alias("i", "a"))
+    pairs = long.join(long.toDF("spectrum_id", "j", "b"), "spectrum_id").where("i <= j")
+    return pairs.groupBy("i", "j").agg((F.abs(F.corr("a", "b")) > 1e-6).alias("correlated"))
+
+
 @query()
 def reduction_pcoa(spark, sf_dir):
     return reduction.pcoa(spectra(spark, sf_dir)).df.select("spectrum_id", F.posexplode("PCoA").alias("component", "score"))
@@ -443,7 +487,7 @@ def reduction_pcoa(spark, sf_dir):
 
 @query()
 def reduction_tsne(spark, sf_dir):
-    return reduction.tsne(spectra(spark, sf_dir), iterations=300).df.select("spectrum_id", F.posexplode("tSNE").alias("component", "score"))
+    return reduction.tsne(spectra(spark, sf_dir)).df.select("spectrum_id", F.posexplode("tSNE").alias("component", "score"))
 
 
 @query()
@@ -478,7 +522,7 @@ def cluster_kmeans(spark, sf_dir):
 
 @query()
 def cluster_gmm(spark, sf_dir):
-    return cluster.gmm(spectra(spark, sf_dir), range(2, 4), n_pc=5)[0]
+    return cluster.gmm(spectra(spark, sf_dir))[0]
 
 
 @query()
@@ -504,8 +548,8 @@ def _model(name: str, fit):
 
 
 _model("classify_lda", models.lda)
-_model("classify_svm", lambda t: models.svm(t, 10))
-_model("classify_forest", lambda t: models.random_forest(t, 20))
+_model("classify_svm", models.svm)
+_model("classify_forest", models.random_forest)
 _model("quantify_pls", models.pls)
 _model("quantify_mlr", models.mlr)
 _model("quantify_glm", models.glm)
@@ -513,22 +557,22 @@ _model("quantify_glm", models.glm)
 
 @query()
 def forest_out_of_fold(spark, sf_dir):
-    return models.forest_votes(planted(spark, sf_dir).df, trees=10, folds=3).select("spectrum_id", "group", "prediction")
+    return models.forest_votes(planted(spark, sf_dir).df).select("spectrum_id", "group", "prediction")
 
 
 @query()
 def decompose_nmf(spark, sf_dir):
-    return decompose.nmf(spectra(spark, sf_dir), max_iter=10)[0].select("spectrum_id", F.posexplode("W").alias("component", "weight"))
+    return decompose.nmf(spectra(spark, sf_dir))[0].select("spectrum_id", F.posexplode("W").alias("component", "weight"))
 
 
 @query()
 def decompose_mcr_als(spark, sf_dir):
-    return decompose.mcr_als(spectra(spark, sf_dir), rounds=5)[0].select("spectrum_id", F.posexplode("concentration").alias("component", "share"))
+    return decompose.mcr_als(spectra(spark, sf_dir))[0].select("spectrum_id", F.posexplode("concentration").alias("component", "share"))
 
 
 @query()
 def decompose_ica(spark, sf_dir):
-    return decompose.ica(spectra(spark, sf_dir), rounds=10)[0].select("spectrum_id", F.posexplode("sources").alias("component", "value"))
+    return decompose.ica(spectra(spark, sf_dir))[0].select("spectrum_id", F.posexplode("sources").alias("component", "value"))
 
 
 # --- sources, plot data ----------------------------------------------------------------------
@@ -542,11 +586,43 @@ def coordinate_layout(spark, sf_dir):
     return out.select(F.col("user_id").alias("spectrum_id"), F.posexplode("y").alias("pos", "value")).withColumn("value", r("value", 4))
 
 
-@query("SELECT spectrum_id, list(v ORDER BY pos)[1] AS first, count(*) AS n FROM (SELECT vec_id AS spectrum_id, unnest(range(64)) AS pos, round(unnest(embedding)::DOUBLE, 6) AS v FROM embeddings) GROUP BY 1")
-def single_spectrum_layout(spark, sf_dir):
-    long = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("spectrum_id"), F.posexplode("embedding").alias("pos", "v"))
-    y = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.round(F.col("v").cast("double"), 6).alias("v")))), lambda x: x["v"])
-    return long.groupBy("spectrum_id").agg(y.alias("y")).select("spectrum_id", F.element_at("y", 1).alias("first"), F.size("y").cast("long").alias("n"))
+def _text_files(lines: DataFrame, order: list[str]) -> str:
+    """Text files, one for each `name`, of the column `line` in order; the folder."""
+    path = f"{shared_folder(lines.sparkSession)}/text-{uuid.uuid4().hex[:12]}"
+    lines.repartition("name").sortWithinPartitions("name", *order).select("name", "line").write.partitionBy("name").text(path)
+    return path
+
+
+def _read_back(spark: SparkSession, path: str) -> Spectra:
+    return files.read_collection(spark, path, "txt", group_index=(2,), group_splits="/|_|=", cutoff=(0, 6000))
+
+
+@query("SELECT grp AS \"group\", pos, w::DOUBLE AS wavenumber, round(avg(v), 6) + 0.0 AS value FROM l GROUP BY grp, pos, w")
+def single_spectrum_files(spark, sf_dir):
+    """The mean spectrum of each group as a file of two columns, read back."""
+    means = spectra(spark, sf_dir).long().groupBy("group", "pos", "wavenumber").agg(F.avg("value").alias("v"))
+    lines = means.select(F.col("group").alias("name"), "pos", F.concat_ws("\t", "wavenumber", "v").alias("line"))
+    s = _read_back(spark, _text_files(lines, ["pos"]))
+    return s.long().select("group", "pos", "wavenumber", r("value").alias("value"))
+
+
+@query("SELECT grp AS \"group\", k, pos, w::DOUBLE AS wavenumber, round(v, 6) + 0.0 AS value FROM l JOIN (SELECT vec_id AS spectrum_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) USING (spectrum_id)")
+def row_oriented_files(spark, sf_dir):
+    """A file for each group: the axis in its first line, a spectrum in each other line, read back."""
+    rows = spectra(spark, sf_dir).df.select(F.col("group").alias("name"), "spectrum_id", F.concat_ws(",", F.transform("raw_data", lambda v: v.cast("string"))).alias("line"))
+    head = rows.select("name").distinct().select("name", F.lit(-1).cast("long").alias("spectrum_id"), F.lit(",".join(map(str, AXIS))).alias("line"))
+    s = _read_back(spark, _text_files(rows.union(head), ["spectrum_id"]))
+    return s.long(("group", "spectrum")).select("group", F.col("spectrum").cast("long").alias("k"), "pos", "wavenumber", r("value").alias("value"))
+
+
+@query("SELECT grp AS \"group\", spectrum_id AS x, pos, w::DOUBLE AS wavenumber, round(v, 6) + 0.0 AS value FROM l")
+def coordinate_files(spark, sf_dir):
+    """A file for each group with lines of two coordinates, wavenumber and value, under a heading, read back."""
+    long = spectra(spark, sf_dir).long()
+    lines = long.select(F.col("group").alias("name"), "spectrum_id", "pos", F.concat_ws("\t", "spectrum_id", F.lit("7"), "wavenumber", "value").alias("line"))
+    head = lines.select("name").distinct().select("name", F.lit(-1).cast("long").alias("spectrum_id"), F.lit(0).alias("pos"), F.lit("x\ty\twave\tvalue").alias("line"))
+    s = _read_back(spark, _text_files(lines.union(head), ["spectrum_id", "pos"]))
+    return s.long(("group", "spectrum")).select("group", F.split("spectrum", "_")[0].cast("long").alias("x"), "pos", "wavenumber", r("value").alias("value"))
 
 
 @query("""WITH g AS (SELECT p_partkey, p_size % 3 AS k FROM part), n AS (SELECT k, count(*) AS n FROM g GROUP BY 1), o AS (SELECT k, 'Batch_' || row_number() OVER (ORDER BY n DESC, md5(CASE k WHEN 0 THEN '500.0,600.0' WHEN 1 THEN '501.0,600.0' ELSE '502.0,600.0' END)) AS batch FROM n)

@@ -190,3 +190,138 @@ def test_mcd_takes_all_rows(spark, rows):
     d = far(*best[1:])
     inside = z[d / np.median(d) * dist.chi2_quantile(0.5, 5) <= dist.chi2_quantile(0.95, 5)]
     assert np.allclose(matrix(quality.mcd(s), "distance"), far(inside.mean(0), np.cov(inside.T)), rtol=1e-6)
+
+
+def test_natural_spline_solves_its_system():
+    rng = np.random.default_rng(1)
+    x = np.cumsum(rng.uniform(0.5, 2, 30))
+    y = np.sin(x)
+    assert np.allclose(files.natural_spline(x, y, x), y)
+    h = np.diff(x)
+    a = np.eye(30)
+    b = np.zeros(30)
+    for i in range(1, 29):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    m = np.linalg.solve(a, b)
+    at = (x[1:] + x[:-1]) / 2
+    want = (y[1:] + y[:-1]) / 2 - h**2 * (m[1:] + m[:-1]) / 16
+    assert np.allclose(files.natural_spline(x, y, at), want)
+    assert np.allclose(files.natural_spline(x[:2], y[:2], np.array([x[0] - 1])), y[0] - (y[1] - y[0]) / h[0])
+
+
+def test_fields_keep_empty_places():
+    assert files.fields("1,,2") == ["1", "", "2"] and files.fields("1 \t 2") == ["1", "2"] and files.fields(" 1   2 ") == ["1", "2"]
+    orient, found, skipped = files.parse("wave,a,b\n" + "\n".join(f"{500 + 10 * i},{i},{i * i}" for i in range(8)) + "\nbroken,line,\n")
+    assert orient == "column" and skipped == 1 and [k for k, _, _ in found] == ["1", "2"] and found[1][2][3] == 9
+
+
+def test_read_collection(spark, tmp_path):
+    axis, shifted = np.arange(600, 700, 10.0), np.arange(602, 702, 10.0)
+    for name, x, k in (("a_1", axis, 1), ("a_2", axis, 2), ("b_1", shifted, 3)):
+        (tmp_path / f"{name}.txt").write_text("\n".join(f"{w}\t{k * 100 + i}" for i, w in enumerate(x)))
+    (tmp_path / "notes.txt").write_text("nothing here\n")
+    s = files.read_collection(spark, str(tmp_path), group_splits="/|_|[.]")
+    rows = s.df.orderBy("spectrum_id").collect()
+    assert [r["spectrum_id"] for r in rows] == [0, 1, 2] and [r["filename"] for r in rows] == ["a_1.txt", "a_2.txt", "b_1.txt"]
+    assert [r["group"] for r in rows] == ["a", "a", "b"] and [r["batch"] for r in rows] == ["Batch_1", "Batch_1", "Batch_2"]
+    assert s.axis.tolist() == axis.tolist() and rows[1]["raw_data"] == [200.0 + i for i in range(10)]
+    (tmp_path / "c_1.txt").write_text("\n".join(f"{w}\t1" for w in axis[:-2]))
+    two = files.read_collection(spark, str(tmp_path), group_splits="/|_|[.]", group_levels=("a",))
+    assert {n: len(x) for n, x in two.items()} == {8: 1, 10: 3} and two[8].df.first()["group"] is None
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        files.read_collection(spark, str(tmp_path / "empty"))
+
+
+def test_spikes_by_order_whatever_the_ids(spark):
+    rng = np.random.default_rng(3)
+    x = 2 + rng.normal(0, 0.01, (30, 40))
+    x[7, 20] += 100
+    schema = "spectrum_id long, group string, raw_data array<double>"
+    dense, sparse = ([(i * i * k + 5 * k, "G", r.tolist()) if k > 1 else (i, "G", r.tolist()) for i, r in enumerate(x)] for k in (1, 1009))
+    a, b = (matrix(preprocess.remove_spikes(Spectra.of(spark.createDataFrame(r, schema).repartition(4), np.arange(40) * 10 + 500.0), block=8).df, "spike_data") for r in (dense, sparse))
+    assert np.allclose(a, b) and a.max() < 3
+
+
+def test_arcs_lie_under_the_curve():
+    y = np.sin(np.arange(80) / 9) * 5 + np.arange(80) / 20
+    for where in ("inside", "start", "end"):
+        arc, touch = preprocess.arc_under(y, where)
+        assert (arc <= y + 1e-9).all() and np.isclose(arc[touch], y[touch])
+    base, ranges = preprocess.bubble_baseline(y, 20)
+    assert (base <= y).all() and all(b - a >= 1 for a, b in ranges)
+    falling = preprocess.bubble_baseline(-np.arange(60.0) ** 2, 10)  # touches at an end, and goes on one point shorter
+    assert (0, 59) in falling[1] or (1, 60) in falling[1]
+
+
+def test_fit_below_equals_rows_alone():
+    rng = np.random.default_rng(5)
+    x = np.linspace(500, 1790, 60)
+    y = rng.normal(0, 1, (25, 60)) + np.where(np.abs(x - 1000) < 60, 8, 0) + x / 300
+    y[3, :5] = np.nan
+    y[4] = np.nan
+    got = preprocess.fit_below(y, x, 1)
+    for row, have in zip(y, got, strict=True):
+        use, base = np.isfinite(row), np.full(60, np.nan)
+        while use.sum() > 1:
+            base = np.polyval(np.polyfit(x[use], row[use], 1), x)
+            then = np.isfinite(row) & (row < base)
+            if then.sum() < 6 or (then == use).all():
+                break
+            use = then
+        assert np.allclose(have, base, equal_nan=True)
+
+
+def test_group_tests(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, (12, 5)), rng.normal(0.8, [1, 1, 1, 4, 6], (15, 5))
+    rows = [(i, g, r.tolist()) for i, (g, r) in enumerate([("a", r) for r in x] + [("b", r) for r in y])]
+    s = Spectra.of(spark.createDataFrame(rows, "spectrum_id long, group string, raw_data array<double>"), np.arange(5.0))
+    out = markers.between_groups(s, "BH").orderBy("pos").collect()
+    for j, r in enumerate(out):
+        a, b = x[:, j], y[:, j]
+        assert np.allclose([r["mean_a"], r["mean_b"], r["sd_a"], r["sd_b"]], [a.mean(), b.mean(), a.std(ddof=1), b.std(ddof=1)])
+        u = (a[:, None] > b[None, :]).sum()
+        z = (u - 90) / np.sqrt(12 * 15 * 28 / 12)
+        assert np.isclose(r["wilcoxon_test"], 2 * dist.normal_cdf(-abs(z)))
+        if r["var_test"] < 0.01:
+            v = a.var(ddof=1) / 12, b.var(ddof=1) / 15
+            t, df = (a.mean() - b.mean()) / np.sqrt(sum(v)), sum(v) ** 2 / (v[0] ** 2 / 11 + v[1] ** 2 / 14)
+        else:
+            df = 25
+            t = (a.mean() - b.mean()) / np.sqrt((11 * a.var(ddof=1) + 14 * b.var(ddof=1)) / 25 * (1 / 12 + 1 / 15))
+        assert np.isclose(r["t_test"], dist.t_two_sided(t, df))
+    assert any(r["var_test"] < 0.01 for r in out) and np.allclose([r["t_test_adjusted"] for r in out], dist.adjust([r["t_test"] for r in out], "BH"))
+    three = s.write(s.stage, s.df.withColumn("group", F.when(F.col("spectrum_id") % 3 == 0, "c").otherwise(F.col("group"))))
+    assert {"mean_c", "kruskal_test_adjusted"} <= set(markers.between_groups(three).columns)
+    with pytest.raises(ValueError):
+        markers.between_groups(s[F.col("group") == "a"])
+
+
+def test_adjusted_p_values():
+    p = [0.04, 0.01, 0.02, 0.9]
+    assert np.allclose(dist.adjust(p, "holm"), [0.08, 0.04, 0.06, 0.9]) and np.allclose(dist.adjust(p, "BH"), [0.16 / 3, 0.04, 0.04, 0.9])
+    assert np.allclose(dist.adjust(p, "hochberg"), [0.08, 0.04, 0.06, 0.9]) and np.allclose(dist.adjust(p), [0.16, 0.04, 0.08, 1])
+    # Hommel by the closure of Simes tests over all sets.
+    from itertools import combinations
+
+    simes = lambda q: min(len(q) * v / (k + 1) for k, v in enumerate(sorted(q)))
+    for p in ([0.04, 0.01, 0.02, 0.9], [0.03, 0.031, 0.032, 0.5, 0.011]):
+        want = [max(simes([p[i] for i in c]) for m in range(1, len(p) + 1) for c in combinations(range(len(p)), m) if k in c) for k in range(len(p))]
+        assert np.allclose(dist.adjust(p, "hommel"), want)
+
+
+def test_mixture_of_one(spark):
+    x = np.random.default_rng(2).normal(0, 1, (120, 6))
+    s = Spectra.of(spark.createDataFrame([(i, "G", r.tolist()) for i, r in enumerate(x)], "spectrum_id long, group string, raw_data array<double>"), np.arange(6.0))
+    assert cluster.gmm(s, [1])[1] == 1 and cluster.gmm(s, [1, 2], n_pc=4)[1] == 1
+
+
+def test_nmf_stores_its_weights(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((40, 2)) @ rng.random((2, 12))
+    s = Spectra.of(spark.createDataFrame([(i, "G", r.tolist()) for i, r in enumerate(x)], "spectrum_id long, group string, raw_data array<double>"), np.arange(12.0))
+    (a, ha, ea), (b, hb, eb) = decompose.nmf(s, max_iter=12, keep=5), decompose.nmf(s, max_iter=12, keep=100)
+    assert np.allclose(ea, eb) and np.allclose(ha, hb) and np.allclose(matrix(a, "W"), matrix(b, "W"))
+    assert all(p >= q - 1e-9 for p, q in zip(ea, ea[1:]))

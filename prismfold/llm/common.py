@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,12 @@ _U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder of spark.checkpoint.dir; a temporary one only where the session names none and runs on this machine alone."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="prismfold-")
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir() or folder
@@ -32,6 +36,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/prismfold-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path there."""
+    path = "file:///" + path[5:].lstrip("/") if path.startswith("file:/") else path
+    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession

@@ -44,7 +44,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["length"]), F.lit(0).cast("long")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,5 +115,36 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 """
 
 
+#: The words of a text, as SQL.
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+_NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents),
+c AS (SELECT min(doc_id) AS c, any_value(w) AS w FROM w WHERE text IS NOT NULL GROUP BY CASE WHEN len(w) > 0 THEN 'w' || array_to_string(w, ' ') ELSE 't' || text END),
+s AS (SELECT DISTINCT c, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s FROM c WHERE len(w) > 0),
+n AS (SELECT c, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.c AS a, b.c AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.c < b.c GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT c, c FROM c UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+least AS (SELECT a AS c, min(b) AS class_id FROM reach GROUP BY 1),
+named AS (SELECT c, CASE WHEN len(w) > 0 THEN 'w' || array_to_string(w, ' ') END AS k FROM c),
+of_doc AS (SELECT w.doc_id, coalesce(min(c.c), w.doc_id) AS c FROM w LEFT JOIN (SELECT c.c, CASE WHEN len(c.w) > 0 THEN 'w' || array_to_string(c.w, ' ') ELSE 't' || d.text END AS k FROM c JOIN documents d ON d.doc_id = c.c) c
+  ON w.text IS NOT NULL AND c.k = CASE WHEN len(w.w) > 0 THEN 'w' || array_to_string(w.w, ' ') ELSE 't' || w.text END GROUP BY 1)
+SELECT doc_id, coalesce(class_id, of_doc.c) AS class_id, coalesce(class_id, of_doc.c) = doc_id AS kept FROM of_doc LEFT JOIN least ON least.c = of_doc.c
+"""
+
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 10 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 9], ' ') for i in range(1, len(w) - 8)] END) AS s, least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+k AS (SELECT DISTINCT k FROM q),
+p AS (SELECT doc_id, k, unnest([{{'i': i, 's': array_to_string(w[i:i + k - 1], ' ')}} for i in range(1, len(w) - k + 2)]) AS x FROM d, k WHERE len(w) >= k),
+o AS (SELECT DISTINCT doc_id, p.k, x.i AS i, item_id FROM p JOIN q ON q.k = p.k AND q.s = x.s),
+h AS (SELECT doc_id, count(DISTINCT t) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS t FROM o) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": _LINKS, "op2_line_dedup": _LINES, "op7_warc": _WARC}
+    return {"op6_minhash_near_dedup": _NEAR, "op8_benchmark_decontamination": _LEAKS, "op1_embedding_near_dedup": _LINKS, "op2_line_dedup": _LINES, "op7_warc": _WARC}

@@ -19,7 +19,6 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -171,26 +170,35 @@ class Dictionary:
         self.trigger = blob.trigger[first] if len(first) else np.zeros(0, np.uint64)
 
 
-def suffix_matches(text: np.ndarray, strings: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+def suffix_matches(text: np.ndarray, strings: np.ndarray, doc: np.ndarray, length: int, fingerprint=rolling) -> np.ndarray:
     """Whether a smaller document has the string at each of the given places of a buffer; doc: that of each place."""
-    key = rolling(text, length)[strings] if len(strings) else np.zeros(0, np.uint64)
+    key = fingerprint(text, length)[strings] if len(strings) else np.zeros(0, np.uint64)
     order = np.argsort(key, kind="stable")
     k = key[order]
     begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(k)))
-    # Fingerprints that meet by chance would be told apart here. Where a match goes on from the string before,
-    # its last byte is all that is new.
+    # Each string is held against the first of its fingerprint, byte by byte. Where a match goes on from the string
+    # before, its last byte is all that is new.
     head = np.empty_like(strings)
     head[order] = np.repeat(strings[order[begin]], size)
     follows = np.zeros(len(strings), bool)
     follows[1:] = (head[1:] == head[:-1] + 1) & (strings[1:] == strings[:-1] + 1)
-    wrong = (text[head + length - 1] != text[strings + length - 1]).any() if len(strings) else False
+    odd = text[head + length - 1] != text[strings + length - 1] if len(strings) else np.zeros(0, bool)
     fresh = np.flatnonzero((head != strings) & ~follows)
     for c in range(0, len(fresh), 1 << 16):
-        p, q = head[fresh[c : c + (1 << 16)], None], strings[fresh[c : c + (1 << 16)], None]
-        wrong = wrong or (text[p + np.arange(length)] != text[q + np.arange(length)]).any()
-    if wrong:
-        raise ArithmeticError("two strings share a 64-bit fingerprint; use another seed")
+        some = fresh[c : c + (1 << 16)]
+        p, q = head[some, None], strings[some, None]
+        odd[some] |= (text[p + np.arange(length)] != text[q + np.arange(length)]).any(axis=1)
+    if odd.any():
+        # Different strings with one fingerprint: all of these fingerprints are told apart by their bytes.
+        mixed = np.flatnonzero(np.isin(key, key[odd]))
+        _, name = np.unique(text[strings[mixed][:, None] + np.arange(length)], axis=0, return_inverse=True)
+        own = np.unique(key, return_inverse=True)[1].reshape(-1)
+        own[mixed] = own.max() + 1 + name.reshape(-1)
+        order = np.argsort(own, kind="stable")
+        k = own[order]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(begin, len(k)))
     out = np.zeros(len(strings), bool)
     if len(k):
         least = np.minimum.reduceat(doc[order], begin)
@@ -198,13 +206,20 @@ def suffix_matches(text: np.ndarray, strings: np.ndarray, doc: np.ndarray, lengt
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
-    spark = docs.sparkSession
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_bytes, spans (start, length of each maximal removed run) and kept (the remaining bytes) of each document."""
     named = f"prismfold_blobs_{uuid.uuid4().hex[:12]}"
+    try:
+        return _remove(docs, length, id_col, named, shard_bytes)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {named}")
+
+
+def _remove(docs: DataFrame, length: int, id_col: str, named: str, shard_bytes: int) -> DataFrame:
+    spark = docs.sparkSession
     source = docs.select(id_key(id_col).alias("__id"), F.col("text").alias("__text"))
     total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shards, buckets = max(1, -(-total // SHARD_BYTES)), max(shuffle_partitions(spark), -(-total // (16 * BLOB_BYTES)))
+    shards, buckets = max(1, -(-total // shard_bytes)), max(shuffle_partitions(spark), -(-total // (16 * BLOB_BYTES)))
 
     def to_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 33
@@ -294,13 +309,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             rows = []
             for doc, a, b in zip(blob.ids.tolist(), blob.starts.tolist(), blob.ends.tolist(), strict=True):
                 g = gone[a:b]
-                n = int(g.sum())
-                spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()) if n else 0
-                rows.append((doc, b - a, n, spans, hashlib.sha256((text[a:b][~g] if n else text[a:b]).tobytes()).hexdigest()))
+                turn = np.flatnonzero(np.diff(g, prepend=False, append=False)).tolist()
+                spans = [{"start": x, "length": y - x} for x, y in zip(turn[::2], turn[1::2], strict=True)]
+                rows.append((doc, b - a, spans, (text[a:b][~g] if spans else text[a:b]).tobytes()))
             cols = list(zip(*rows, strict=True))
-            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "n_bytes", "spans", "kept"])
 
-    done = blobs.join(found.hint("shuffle_hash"), "blob", "left").select("blob", "ids", "ends", "text", "masks", "found").mapInArrow(to_results, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = blobs.join(found.hint("shuffle_hash"), "blob", "left").select("blob", "ids", "ends", "text", "masks", "found").mapInArrow(to_results, "doc long, n_bytes long, spans array<struct<start:bigint,length:bigint>>, kept binary")
     done = materialise(done, "repeats")
-    spark.sql(f"DROP TABLE {named}")
-    return done.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "spans", "kept")

@@ -6,27 +6,31 @@ kept `GAP` apart, so no phrase crosses documents. A phrase is found by taking th
 in the segment and intersecting them with the offset-adjusted lists of its other terms, rarer ones first;
 proximity search keeps the positions of the rarest term that have each other term within a distance.
 
-Segments need no shuffle: the benchmark's phrases, a stated and bounded query set, visit each of them.
+Segments need no shuffle: the benchmark's phrases, a stated query set, visit each of them in parts of bounded
+size. `contamination` builds the index of a segment while its texts are read, and drops it when all phrases have
+been looked up; `build_index` gives the same segments as rows to keep, and `search` looks phrases up in them.
 
 Null or empty text: no words, never hit. Repeated rows and ids are separate documents. Items without words
-match nothing; equal windows of several items count for each of them. Extra columns are ignored.
+match nothing; equal windows of several items count for each of them. A null item id
+stands in the lists as an empty string. Words and windows are compared by 64-bit hashes. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, document_words, slices
+from .common import WORD_BYTES, binaries, document_words, filesystem, new_path, slices
 
 WINDOW = 10
-#: Bytes of benchmark text that may be sent to all tasks.
-MAX_BENCHMARK_BYTES = 256 << 20
+#: Bytes of benchmark text in a part: its windows take some hundred times as much memory, on the driver and in a task.
+PART_BYTES = 1 << 20
 
 
 class Segment:
@@ -108,25 +112,73 @@ class Phrases:
             self.index[k] = np.searchsorted(self.terms, np.concatenate([w, np.repeat(w[:1], size - len(w))]))
 
 
-def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[tuple]:
-    """The benchmark on the driver, after a check of its size."""
-    size = benchmark.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; send it in parts of at most {MAX_BENCHMARK_BYTES}")
-    return [(r[0], (r[1] or "").encode()) for r in benchmark.select(item_id, text).collect()]
-
-
-def scan(texts: list[bytes], phrases: Phrases, window: int) -> list[tuple[int, int, list[str]]]:
+class Parts:
+    """The benchmark's windows in parts of bounded size: one part is sent to the tasks, more are read from the shared folder one after the other."""
+
+    def __init__(self, benchmark: DataFrame, window: int, item_id: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES):
+        spark = benchmark.sparkSession
+        self.one, self.paths, waiting, held = None, [], [], 0
+        for r in benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(text).cast("binary")).toLocalIterator():
+            words = bytes(r[1] or b"")
+            # A long item goes in pieces that overlap by all but one word of a window.
+            for piece in pieces(words, part_bytes, window):
+                if held and held + len(piece) > part_bytes:
+                    self._store(spark, Phrases(waiting, window))
+                    waiting, held = [], 0
+                waiting.append((r[0], piece))
+                held += len(piece)
+        if self.paths:
+            self._store(spark, Phrases(waiting, window))
+        else:
+            self.one = spark.sparkContext.broadcast(Phrases(waiting, window))
+
+    def _store(self, spark, phrases: Phrases) -> None:
+        path = new_path(spark, "phrases")
+        fs, at = filesystem(path)
+        with fs.open_output_stream(at) as f:
+            f.write(pickle.dumps(phrases))
+        self.paths.append(path)
+
+    def __iter__(self) -> Iterator[Phrases]:
+        if self.one is not None:
+            yield self.one.value
+        for path in self.paths:
+            fs, at = filesystem(path)
+            with fs.open_input_file(at) as f:
+                yield pickle.loads(f.read())
+
+
+def pieces(text: bytes, most: int, window: int) -> list[bytes]:
+    """The text, or pieces of about `most` bytes that hold each run of `window` words whole."""
+    if len(text) <= most:
+        return [text]
+    words, out, at = text.translate(WORD_BYTES).split(), [], 0
+    if len(words) <= window:
+        return [b" ".join(words)]
+    while at + window <= len(words):
+        end, size = at, 0
+        while end < len(words) and (end - at < window or size + len(words[end]) < most):
+            size += len(words[end]) + 1
+            end += 1
+        out.append(b" ".join(words[at:end]))
+        if end == len(words):
+            break
+        at = end - window + 1
+    return out
+
+
+def scan(texts: list[bytes], parts: Iterable[Phrases], window: int) -> list[tuple[int, int, list[str]]]:
     """(words, hit words, items) of each text."""
     segment = Segment.build(texts, gap=window)
-    low, high = segment.lists(phrases.terms)
     n = len(texts)
     span = int(segment.bases[-1]) + window + 1
     cover = np.zeros(span, np.int32)
     items: list[set[str]] = [set() for _ in range(n)]
-    if len(phrases.windows):
-        there = np.flatnonzero((high > low)[phrases.index].all(axis=1))
-        for k in there:
+    for phrases in parts:
+        if not len(phrases.windows):
+            continue
+        low, high = segment.lists(phrases.terms)
+        for k in np.flatnonzero((high > low)[phrases.index].all(axis=1)):
             t = phrases.index[k, : phrases.sizes[k]]
             at = segment.phrase(low[t], high[t])
             if len(at):
@@ -140,30 +192,30 @@ def scan(texts: list[bytes], phrases: Phrases, window: int) -> list[tuple[int, i
     return [(int(counts[d]), int(hits[d]), sorted(items[d])) for d in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items (sorted as strings) and contaminated. One narrow pass."""
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases(benchmark_items(benchmark), window))
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", part_bytes: int = PART_BYTES) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings) and contaminated. One narrow pass."""
+    parts = Parts(benchmark, window, part_bytes=part_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text", 8 << 20):
-            found = scan(binaries(b.column(1)), phrases.value, window)
+            found = scan(binaries(b.column(1)), parts, window)
             yield pa.record_batch(
                 [b.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.string()))],
-                names=[id_col, "n_words", "n_hit", "items"],
+                names=["doc_id", "n_words", "n_hit", "items"],
             )
 
-    out = docs.select(F.col(id_col), F.col("text").alias("__text")).mapInArrow(run, f"{id_col} long, n_words long, n_hit long, items array<string>")
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("__text")).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, without those that hold a window of a benchmark item."""
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases(benchmark_items(benchmark), window))
+    parts = Parts(benchmark, window)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 8 << 20):
-            found = scan(binaries(b.column(at)), phrases.value, window)
+            found = scan(binaries(b.column(at)), parts, window)
             yield b.filter(pa.array([x[1] == 0 for x in found]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,6 @@ import gzip
 import hashlib
 import itertools
 import json
-import os
 import struct
 import uuid
 import zlib
@@ -38,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, binaries, id_key, materialise, new_path, shuffle_partitions
+from .common import NULL_ID, binaries, filesystem, id_key, materialise, new_path, shuffle_partitions
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
@@ -48,10 +47,6 @@ READ_GAP, READ_BYTES = 64 << 10, 8 << 20
 _EPOCH = "1970-01-01T00:00:00Z"
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
-
-
 def _uri(path: str) -> str:
     return "file:///" + path[5:].lstrip("/") if path.startswith("file:/") else path
 
@@ -114,7 +109,7 @@ def write_archives(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     """Write the records; (url_key, page, url, kind, digest, archive, offset, length) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open(folder)
+        fs, root = filesystem(folder)
         part, n = TaskContext.get().partitionId(), 0
         out, name, at, entries = None, "", 0, []
         temporary = ""
@@ -167,7 +162,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     ordered = captures.repartitionByRange(parts, "url_key", "page").sortWithinPartitions("url_key", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open(folder)
+        fs, root = filesystem(folder)
         name, temporary = f"index-{TaskContext.get().partitionId():08d}.gz", f"{root}/.{uuid.uuid4().hex}.tmp"
         out, at, rows, lines = None, 0, [], []
 
@@ -246,7 +241,7 @@ class CaptureIndex:
     def write(cls, pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, block_lines: int = BLOCK_LINES) -> CaptureIndex:
         spark = pages.sparkSession
         folder = folder or new_path(spark, "warc")
-        fs, root = _open(_uri(folder))
+        fs, root = filesystem(_uri(folder))
         fs.create_dir(root, recursive=True)
         captures = materialise(write_archives(plan(pages, min_bytes), _uri(folder), archive_bytes), "captures")
         write_index(targets(captures), _uri(folder), block_lines).write.mode("overwrite").parquet(f"{folder}/directory")
@@ -254,7 +249,7 @@ class CaptureIndex:
 
     def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
         """File, offset and length of the blocks that may hold a key, in order."""
-        fs, root = _open(self.folder)
+        fs, root = filesystem(self.folder)
         files = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith("index-") and x.extension == "dir")
         # The block before the first that starts at or after the key may hold it as well.
         f = bisect.bisect_left(files, key, key=lambda path: Directory(fs, path)[0][0])
@@ -269,7 +264,7 @@ class CaptureIndex:
     def lookup(self, url: str) -> Iterator[tuple[dict[str, str], bytes]]:
         """Headers and payload of each capture of a URL, one at a time; a revisit's payload is that of the record it names."""
         key = url_key(url)
-        fs, root = _open(self.folder)
+        fs, root = filesystem(self.folder)
         whole = lambda archive, offset, length: parse(gzip.decompress(read_range(fs, f"{root}/{archive}", offset, length)))
         for file, offset, length in self.blocks(key):
             lines = read_block(fs, file, offset, length)
@@ -284,7 +279,7 @@ class CaptureIndex:
         folder = self.folder
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fs, root = _open(folder)
+            fs, root = filesystem(folder)
             for b in batches:
                 for r in b.to_pylist():
                     cols = list(zip(*read_block(fs, f"{root}/{r['file']}", r["offset"], r["length"]), strict=True))[:8]
@@ -303,7 +298,7 @@ class CaptureIndex:
         stripe = F.floor(F.col("offset") / READ_BYTES)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fs, root = _open(folder)
+            fs, root = filesystem(folder)
             for b in batches:
                 names, offsets, lengths = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
                 i, rows, held = 0, [], 0

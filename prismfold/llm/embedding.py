@@ -8,7 +8,8 @@ those later cells that lie within the block's radius. Pairs within the block's b
 double precision, and a pair counts in the first block whose budget it meets, so no pair counts twice and no pair
 table is shuffled: a task sends on, per vector, a number of links and the edges of a spanning forest.
 
-Equal vectors are one class, with their number as weight. Cells are cut into slices of `SLICE` home vectors; the
+Within a cell, vectors are swept along a further axis: only those within the radius there are held against each
+other. Equal vectors are one class, with their number as weight. Cells are cut into slices of `SLICE` home vectors; the
 cell's vectors stream past each slice, so one cell's population bounds no task's memory.
 
 Null, zero, or non-finite vectors link with nothing and are their own components; so do vectors whose length
@@ -61,7 +62,9 @@ def norms(x: np.ndarray) -> np.ndarray:
 
 
 def stack(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+    """The vectors, each times a power of two, which changes no cosine, so that its squares neither vanish nor overflow."""
+    v = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0))[1][:, None])
 
 
 def cosine_of_pairs(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
@@ -78,7 +81,10 @@ class Blocks:
         self.budget = (2 - 2 * cosine + 1e-9) * share / share.sum()
         self.radius = np.sqrt(self.budget) * (1 + 1e-9)
         self.axes = [np.sort(np.argsort(-spread[b * BLOCK_DIMS : (b + 1) * BLOCK_DIMS], kind="stable")[:CELL_AXES]) + b * BLOCK_DIMS for b in range(self.count)]
-        self.width = 2 * self.radius
+        #: Cells have twelve bits for each axis; wider ones than the radius asks for are right as well.
+        self.width = np.maximum(2 * self.radius, 1 / 1024)
+        #: The widest axis that cells are not cut on: within a cell, vectors are swept along it.
+        self.sweep = [max((a for a in range(b * BLOCK_DIMS, (b + 1) * BLOCK_DIMS) if a not in self.axes[b]), key=lambda a: spread[a]) for b in range(self.count)]
 
     def cells(self, r: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Cell coordinates, and places within the cells, from 0 to the width."""
@@ -137,14 +143,19 @@ def _join_slices(blocks: Blocks, cosine: float):
     """Streams each (cell, slice): first its home vectors, then all vectors of the cell."""
 
     def pairs(home: dict, other: dict, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        lo, hi = b * BLOCK_DIMS, (b + 1) * BLOCK_DIMS
+        lo, hi, reach = b * BLOCK_DIMS, (b + 1) * BLOCK_DIMS, blocks.radius[b] * (1 + 1e-9) + 1e-12
+        along, across = home["r"][:, blocks.sweep[b]], other["r"][:, blocks.sweep[b]]  # both ascending
         # One single-precision product gives minus half the squared distances; its rounding is far below the margin.
         x, y = home["r"][:, lo:hi], other["r"][:, lo:hi]
         x = np.column_stack([x, -0.5 * (x**2).sum(axis=1), np.ones(len(x))]).astype(np.float32)
         y = np.ascontiguousarray(np.column_stack([y, np.ones(len(y)), -0.5 * (y**2).sum(axis=1)]).astype(np.float32).T)
         least = np.float32(-0.5 * blocks.budget[b] - MARGIN)
         for a in range(0, len(x), 256):
-            i, j = np.divmod(np.flatnonzero(x[a : a + 256] @ y >= least), y.shape[1])
+            first, last = np.searchsorted(across, along[a] - reach), np.searchsorted(across, along[min(a + 255, len(x) - 1)] + reach, "right")
+            if first == last:
+                continue
+            i, j = np.divmod(np.flatnonzero(x[a : a + 256] @ y[:, first:last] >= least), last - first)
+            j += first
             # Two home vectors of a cell meet twice, as home and as passer-by: once is enough.
             once = other["guest"][j] | (home["id"][i + a] < other["id"][j])
             i, j = i[once], j[once]
@@ -153,11 +164,11 @@ def _join_slices(blocks: Blocks, cosine: float):
                 ok = cosine_of_pairs(home["v"][p], home["n"][p], other["v"][q], other["n"][q]) >= cosine
                 p, q = p[ok], q[ok]
                 gap = ((home["r"][p] - other["r"][q]) ** 2).reshape(len(p), blocks.count, BLOCK_DIMS).sum(axis=2)
-                first = (gap <= blocks.budget).argmax(axis=1) == b
-                yield p[first], q[first]
+                own = (gap <= blocks.budget).argmax(axis=1) == b
+                yield p[own], q[own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home, forest, links = None, None, Forest(), {}
+        key, home, swept, forest, links = None, None, False, Forest(), {}
         out = lambda a, b, n: pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["id", "to", "n"])
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -187,11 +198,17 @@ def _join_slices(blocks: Blocks, cosine: float):
                 here = (int(cell[x]), int(part[x]))
                 if here != key:
                     yield from flush()
-                    key, home = here, None
+                    key, home, swept = here, None, False
                 if kind[x] == 0:
                     home = now if home is None else {k: np.concatenate([home[k], now[k]]) for k in now}
                 elif home is not None:
-                    for p, q in pairs(home, now, here[0] >> (12 * CELL_AXES)):
+                    b = here[0] >> (12 * CELL_AXES)
+                    if not swept:
+                        order, swept = np.argsort(home["r"][:, blocks.sweep[b]], kind="stable"), True
+                        home = {k: v[order] for k, v in home.items()}
+                    order = np.argsort(now["r"][:, blocks.sweep[b]], kind="stable")
+                    now = {k: v[order] for k, v in now.items()}
+                    for p, q in pairs(home, now, b):
                         if len(p):
                             add(home["id"][p], now["w"][q])
                             add(now["id"][q], home["w"][p])

@@ -219,6 +219,18 @@ def test_embeddings(spark):
     assert embedding.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_any_size_and_id(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 12))
+    far = [(1, (a * 1e200).tolist(), 1), (2, (a * 1e-200).tolist(), 1), (2, b.tolist(), 1), (None, b.tolist(), 1), (5, (b / np.abs(b).max() * 1e308).tolist(), 1), (6, a[:9].tolist(), 1), (7, (a[:9] * 3).tolist(), 1), (8, [5e-324] * 12, 1)]
+    out = embedding.link_vectors(spark.createDataFrame(far, "vec_id long, embedding array<double>, id int").withColumn("k", F.lit("clash")))
+    got = sorted((r["vec_id"] or 0, r["n_links"]) for r in out.collect())
+    assert got == [(0, 2), (1, 1), (2, 1), (2, 2), (5, 2), (6, 1), (7, 1), (8, 0)]
+    close = [(i, (a + rng.normal(0, 1e-9, 12)).tolist()) for i in range(20)] + [(30, b.tolist())]
+    tight = embedding.link_vectors(spark.createDataFrame(close, "vec_id long, embedding array<double>"), cosine=1 - 1e-10).collect()
+    assert {r["n_links"] for r in tight if r["vec_id"] < 20} == {19} and [r["n_links"] for r in tight if r["vec_id"] == 30] == [0]
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 

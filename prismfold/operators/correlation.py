@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import t_two_sided
-from ..llm.common import materialise
-from ..spectra import Spectra, nearest, take
+from ..spectra import Spectra, nearest, stored, take
 from .reduction import gram
 
 #: Half of exp(-d/2), the density of two degrees of freedom, is under 0.1 beyond this distance.
@@ -94,7 +93,7 @@ def _blocks(s: Spectra, blocks: int) -> tuple[int, int, DataFrame]:
     y = s.y.cast("array<double>")
     sorted_ = s.df.where(s.y.isNotNull()).select("spectrum_id", y.alias("v")).orderBy("spectrum_id", "v")
     # Written, so that places within sorted partitions and the partitions' sizes belong to one and the same run.
-    placed = materialise(sorted_.select(F.monotonically_increasing_id().alias("at"), "v"), "ranked-spectra")
+    placed = stored(sorted_.select(F.monotonically_increasing_id().alias("at"), "v"))
     part = F.shiftright("at", 33)
     sizes = placed.groupBy(part.alias("part")).count().orderBy("part").collect()
     m = sum(r["count"] for r in sizes)

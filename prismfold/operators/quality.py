@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_quantile, f_cdf
-from ..llm.common import materialise
-from ..spectra import Spectra, literal, mean, positions, sd, take, total
+from ..spectra import Spectra, literal, mean, positions, sd, stored, take, total
 from .preprocess import bubble_peaks
 from .reduction import pca
 
@@ -290,7 +289,7 @@ def mcd(s: Spectra, alpha: float = 0.01) -> DataFrame:
     """Robust distances on five scores; the estimate takes all rows."""
     p = min(5, len(s.axis))
     scored = pca(s, min(20, len(s.axis))).df.select("spectrum_id", F.slice("PCA", 1, 5).alias("x"))
-    scores = materialise(scored, "scores")
+    scores = stored(scored)
     m, c = fast_mcd(scores.where("x IS NOT NULL"), p)
     inv = np.linalg.inv(c)
     diff = F.zip_with("x", literal(m), lambda a, b: a - b)

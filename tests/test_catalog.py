@@ -23,3 +23,12 @@ def test_against_sql(spark, name):
     names = [d[0] for d in c.description]
     want = sorted(map(repr, (tuple(r[names.index(k)] for k in sorted(names)) for r in c.fetchall())))
     assert sorted(names) == sorted(df.columns) and rows == want
+
+
+def test_the_rest_imports_nothing_of_the_subpackage():
+    import pathlib
+    import re
+
+    root = pathlib.Path(catalog.__file__).parents[1]
+    sources = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts]
+    assert sources and not [p for p in sources if re.search(r"^\s*(from|import)\s.*\bllm\b", p.read_text(), re.M)]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +190,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
                 yield batch.slice(a, b - a)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for mapInArrow; once a task is done, its worker gives back the memory that it no longer uses.
+
+    Workers stay for later tasks, and both Arrow and the C library keep what was freed.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidied
+
+
 # --- connected components --------------------------------------------------------------------
 
 

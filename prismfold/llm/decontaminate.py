@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, binaries, document_words, filesystem, new_path, slices
+from .common import WORD_BYTES, binaries, document_words, filesystem, new_path, slices, tidy
 
 WINDOW = 10
 #: Bytes of benchmark text in a part: its windows take some hundred times as much memory, on the driver and in a task.
@@ -204,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                 names=["doc_id", "n_words", "n_hit", "items"],
             )
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("__text")).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("__text")).mapInArrow(tidy(run), "doc_id long, n_words long, n_hit long, items array<string>")
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -218,7 +218,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             found = scan(binaries(b.column(at)), parts, window)
             yield b.filter(pa.array([x[1] == 0 for x in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 # --- the stored index ------------------------------------------------------------------------
@@ -237,7 +237,7 @@ def build_index(docs: DataFrame, gap: int = 1024, id_col: str = "doc_id") -> Dat
             name = int.from_bytes(hashlib.blake2b(b"".join(x.tobytes() for x in row[:2]), digest_size=8).digest(), "little", signed=True)
             yield pa.record_batch([pa.array([name], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in row)], names=["segment", "doc_ids", "terms", "starts", "positions", "bases"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col("text").alias("__text")).mapInArrow(run, INDEX_SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col("text").alias("__text")).mapInArrow(tidy(run), INDEX_SCHEMA)
 
 
 def search(index: DataFrame, queries: list[tuple], within: int | None = None) -> DataFrame:
@@ -256,4 +256,4 @@ def search(index: DataFrame, queries: list[tuple], within: int | None = None) ->
                         d = s.document_of(at)
                         yield pa.record_batch([pa.array([k] * len(at), pa.string()), pa.array(ids[d]), pa.array(at - s.bases[d])], names=["query_id", "doc_id", "position"])
 
-    return index.mapInArrow(run, "query_id string, doc_id long, position long")
+    return index.mapInArrow(tidy(run), "query_id string, doc_id long, position long")

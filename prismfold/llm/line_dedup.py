@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, id_key, materialise, mix, new_path, slices
+from .common import binaries, id_key, materialise, mix, new_path, slices, tidy
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys that a filter is planned for; bytes of filters that are sent to all tasks.
@@ -63,7 +63,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id"
             k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(ids, pa.int64())], names=["k1", "k2", "doc"])
 
-    lines = docs.select(id_key(id_col).alias("__id"), F.col("text").alias("__text")).mapInArrow(run, "k1 long, k2 long, doc long")
+    lines = docs.select(id_key(id_col).alias("__id"), F.col("text").alias("__text")).mapInArrow(tidy(run), "k1 long, k2 long, doc long")
     return lines.groupBy("k1", "k2", "doc").agg(F.count("*").alias("n"))
 
 
@@ -168,7 +168,7 @@ def suspects(posted: DataFrame, filters: DataFrame, shards: int, broadcast_bytes
                         hit[at] = known[s].contains(key[at])
                 yield b.filter(pa.array(hit))
 
-        return posted.select("k1", "k2", "doc").mapInArrow(run, "k1 long, k2 long, doc long")
+        return posted.select("k1", "k2", "doc").mapInArrow(tidy(run), "k1 long, k2 long, doc long")
 
     # Filters travel ahead of the lines of their shard, which are dealt into as many shares as give each task some MB.
     salts = max(16, -(-spread(posted) // shards))
@@ -195,7 +195,7 @@ def suspects(posted: DataFrame, filters: DataFrame, shards: int, broadcast_bytes
                     yield lines.filter(pa.array(held[1].contains(lines.column(3).to_numpy()))).select([3, 4, 5])
 
     dealt = both.repartition(salts * shards, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
-    return dealt.select("shard", "salt", "filter", "k1", "k2", "doc").mapInArrow(beside, "k1 long, k2 long, doc long")
+    return dealt.select("shard", "salt", "filter", "k1", "k2", "doc").mapInArrow(tidy(beside), "k1 long, k2 long, doc long")
 
 
 def spread(posted: DataFrame) -> int:
@@ -322,4 +322,4 @@ class LineIndex:
                 yield pa.record_batch([*arrays, pa.array(lines, pa.int64()), pa.array(drops, pa.int64()), pa.array(digests, pa.string())], names=[*(f"c{i}" for i in range(len(columns))), *ADDED])
 
         schema = named.schema.add("__n_lines", "long").add("__n_dropped", "long").add("__sha256", "string")
-        return joined.mapInArrow(run, schema).toDF(*columns, *ADDED)
+        return joined.mapInArrow(tidy(run), schema).toDF(*columns, *ADDED)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, binaries, components, document_words, id_key, materialise, mix, shingles, slices
+from .common import NULL_ID, binaries, components, document_words, id_key, materialise, mix, shingles, slices, tidy
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 misses all 45 bands of 7 rows with probability 3e-5; at 0.4 it meets with 0.07.
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", bands: int = BANDS, rows
             yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(c[0]), pa.array(c[1]), pa.array(size, pa.int64()), lists], names=["k", "row", "t", "c1", "c2", "n", "bands"])
 
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    return docs.select(id_key(id_col).alias("k"), F.col("text").alias("__text"), row.alias("row"), F.xxhash64("text").alias("t")).mapInArrow(run, "k long, row long, t long, c1 long, c2 long, n long, bands array<long>")
+    return docs.select(id_key(id_col).alias("k"), F.col("text").alias("__text"), row.alias("row"), F.xxhash64("text").alias("t")).mapInArrow(tidy(run), "k long, row long, t long, c1 long, c2 long, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -118,7 +118,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id") ->
     text = docs.select(id_key(id_col).alias("k"), F.xxhash64("text").alias("t"), F.col("text").alias("__text"))
     # Repeated rows, alike in id and text, give a class its set more than once.
     found = text.join(wanted.select("cls", "k", "t").hint("shuffle_hash"), ["k", "t"]).select("cls", "__text")
-    return found.mapInArrow(run, "cls long, hashes array<long>")
+    return found.mapInArrow(tidy(run), "cls long, hashes array<long>")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

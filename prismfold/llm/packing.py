@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 LONGEST = 2048
 TIERS = (2048, 1024, 512, 256, 128, 64)
 END = 1
 #: Sequences of a step group.
 STEP = 64
-#: Token ids of words that a worker keeps.
+#: Words and runs of letters or marks whose token ids a worker keeps.
 CACHE = 600_000
 #: A run of documents holds about so many bytes of text.
 RUN_BYTES = 8 << 20
@@ -89,7 +89,7 @@ class WordTokenizer:
         self.kind = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         rules = json.loads(self.tokenizer.to_str())
         self.by_words = all(rules[k] == v for k, v in _BY_WORDS.items())
-        self.words, self.pieces = _Cache(self.word), _Cache(self.piece)
+        self.known = _Cache(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -100,20 +100,25 @@ class WordTokenizer:
         m = _SIMPLE.fullmatch(normal) if len(normal) < 200 else None
         if not m:
             return np.array(self.plain.encode(normal, add_special_tokens=False).ids, self.kind).tobytes()
-        return self.pieces[m[1]] + (self.pieces[m[2]] if m[2] else b"")
+        return self.piece(m[1]) + self.piece(m[2]) if m[2] else self.model_ids(m[1])
 
     def piece(self, piece: str) -> bytes:
-        """The ids of a normal run of letters or of marks."""
+        """The ids of a normal run of letters or of marks, which as a word has the same."""
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.known[piece] = self.model_ids(piece)
+        return ids
+
+    def model_ids(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join([_SHOWN[c] for c in piece.encode()])
         return np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         if not self.by_words or any(x in text for x in _WHOLE):
             return np.frombuffer(self.whole(text), self.kind)
-        for cache in (self.words, self.pieces):
-            if len(cache) > CACHE:
-                cache.clear()
-        return np.frombuffer(b"".join(map(self.words.__getitem__, (text if _BEYOND.search(text) else text.lower()).split())), self.kind)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, (text if _BEYOND.search(text) else text.lower()).split())), self.kind)
 
 
 class _Cache(dict):
@@ -222,4 +227,4 @@ def pack_documents(docs: DataFrame, path: str, longest: int = LONGEST, tiers: tu
             for at in range(0, len(cols[0]), 4096):
                 yield pa.record_batch([pa.array(c[at : at + 4096], k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("__text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").alias("__text")).mapInArrow(tidy(run), SCHEMA)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, document_words, slices
+from .common import binaries, document_words, slices, tidy
 
 SAMPLE_ROWS = 3000
 #: A word of fewer training rows cannot reach LEAST_G.
@@ -212,7 +212,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id") -> DataFrame:
         for b in slices(batches, "__text"):
             yield pa.record_batch([b.column(0), *(pa.array(p, pa.float64()) for p in model.value.predict(binaries(b.column(1))))], names=[id_col, *names])
 
-    return docs.select(F.col(id_col).cast("long"), F.col("text").alias("__text")).mapInArrow(run, ", ".join([f"{id_col} long", *(f"{n} double" for n in names)]))
+    return docs.select(F.col(id_col).cast("long"), F.col("text").alias("__text")).mapInArrow(tidy(run), ", ".join([f"{id_col} long", *(f"{n} double" for n in names)]))
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5) -> DataFrame:
@@ -223,4 +223,4 @@ def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold
         for b in slices(batches, "text"):
             yield b.filter(pa.array(model.value.predict(binaries(b.column(at)))[which] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -4,10 +4,11 @@ A rolling hash runs over every text. In each string of `length` bytes, the small
 its trigger: equal strings have equal triggers at equal places, so triggers parse all texts into phrases by
 content alone, and every match of `length` bytes lies whole in the phrases around one trigger. The dictionary is
 the set of distinct phrases (a trigger with the bytes of all strings that it governs); phrases whose trigger
-occurs in one document only hold no repeat and are left out before any text moves. The suffixes of the dictionary's phrases are
-sorted to the depth that decides a match, `length` bytes, by fingerprint, with the smallest document of each
-phrase; equal neighbours in this order are the matches, checked byte by byte. Combined with the parse, that is,
-with the places of each phrase in its documents, this gives every match in corpus order.
+occurs in one document only hold no repeat and are left out before any text moves. The suffixes of the dictionary's
+phrases are sorted by their bytes to the depth that decides a match, `length`: equal neighbours in this suffix array
+are the matches, and each has the smallest document of its phrases. Phrases overlap, so that a suffix never has to
+be followed into the next phrase; what the parse adds are the places of each phrase in its documents, by which the
+matches go back to the texts in corpus order.
 
 Texts lie in blobs of a few MB in a table bucketed by blob, and never move again: what is shuffled are arrays of
 trigger hashes, then the distinct phrases with repeated triggers, then bit masks back to the blobs.
@@ -34,6 +35,8 @@ LENGTH, TRIGGER = 50, 16
 BLOB_BYTES = 4 << 20
 #: Text bytes for each shard of the trigger space.
 SHARD_BYTES = 16 << 20
+#: A shard's phrases are sorted in parts of the trigger space, so that a task holds the suffix array of one part only.
+PART_BITS = 4
 _U = np.uint64
 _PIECE = 1 << 16
 
@@ -170,39 +173,67 @@ class Dictionary:
         self.trigger = blob.trigger[first] if len(first) else np.zeros(0, np.uint64)
 
 
-def suffix_matches(text: np.ndarray, strings: np.ndarray, doc: np.ndarray, length: int, fingerprint=rolling) -> np.ndarray:
-    """Whether a smaller document has the string at each of the given places of a buffer; doc: that of each place."""
-    key = fingerprint(text, length)[strings] if len(strings) else np.zeros(0, np.uint64)
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    size = np.diff(np.append(begin, len(k)))
-    # Each string is held against the first of its fingerprint, byte by byte. Where a match goes on from the string
-    # before, its last byte is all that is new.
-    head = np.empty_like(strings)
-    head[order] = np.repeat(strings[order[begin]], size)
-    follows = np.zeros(len(strings), bool)
-    follows[1:] = (head[1:] == head[:-1] + 1) & (strings[1:] == strings[:-1] + 1)
-    odd = text[head + length - 1] != text[strings + length - 1] if len(strings) else np.zeros(0, bool)
-    fresh = np.flatnonzero((head != strings) & ~follows)
-    for c in range(0, len(fresh), 1 << 16):
-        some = fresh[c : c + (1 << 16)]
-        p, q = head[some, None], strings[some, None]
-        odd[some] |= (text[p + np.arange(length)] != text[q + np.arange(length)]).any(axis=1)
-    if odd.any():
-        # Different strings with one fingerprint: all of these fingerprints are told apart by their bytes.
-        mixed = np.flatnonzero(np.isin(key, key[odd]))
-        _, name = np.unique(text[strings[mixed][:, None] + np.arange(length)], axis=0, return_inverse=True)
-        own = np.unique(key, return_inverse=True)[1].reshape(-1)
-        own[mixed] = own.max() + 1 + name.reshape(-1)
-        order = np.argsort(own, kind="stable")
-        k = own[order]
-        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(np.append(begin, len(k)))
-    out = np.zeros(len(strings), bool)
-    if len(k):
-        least = np.minimum.reduceat(doc[order], begin)
-        out[order] = np.repeat(least, size) < doc[order]
+def suffix_order(text: np.ndarray, strings: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of a buffer to a depth: the given places in the order of their `length` bytes, and where a new string begins."""
+    if not len(strings):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    # Words of eight bytes are ranked once for all places; a string is the ranks of its words, the last one overlapping.
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(text),), ">u8", padded, strides=(1,)).astype(np.uint64)
+    if length < 8:
+        words >>= _U(8 * (8 - length))
+    order = np.argsort(words)
+    step = np.zeros(len(words), np.uint64)
+    step[1:] = words[order][1:] != words[order][:-1]
+    rank = np.empty(len(words), np.uint64)
+    rank[order] = np.cumsum(step, dtype=np.uint64)
+    del words, order, step
+    at = sorted({*range(0, max(1, length - 7), 8), max(0, length - 8)})
+    bits = max(1, int(rank.max()).bit_length())
+    fit, keys = max(1, 64 // bits), []
+    for i in range(0, len(at), fit):
+        key = np.zeros(len(strings), np.uint64)
+        for k in at[i : i + fit]:
+            key = key << _U(bits) | rank[strings + k]
+        keys.append(key)
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.ones(len(strings), bool)
+    new[1:] = False
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    return order, new
+
+
+def strings_of(size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all strings of phrases that lie one behind the other, and the number of each phrase's."""
+    many = size - length + 1
+    return np.repeat(np.cumsum(size) - size - (np.cumsum(many) - many), many) + np.arange(many.sum()), many
+
+
+def repeated_strings(text: bytes, size: np.ndarray, doc: np.ndarray, part: np.ndarray, length: int) -> np.ndarray:
+    """Whether a smaller document has the string, for all strings of phrases that lie one behind the other.
+
+    Equal strings are in one part. Of each part, the dictionary of distinct phrases is sorted by its suffixes, and a
+    string's smallest document is that of all phrases that have it.
+    """
+    start = np.cumsum(size) - size
+    _, many = strings_of(size, length)
+    first = np.cumsum(many) - many
+    out = np.zeros(int(many.sum()), bool)
+    for p in np.unique(part):
+        own = np.flatnonzero(part == p)
+        index: dict[bytes, int] = {}
+        of = np.array([index.setdefault(text[a : a + n], len(index)) for a, n in zip(start[own].tolist(), size[own].tolist(), strict=True)], np.int64)
+        sizes = np.array([len(x) for x in index], np.int64)
+        least = np.full(len(index), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, doc[own])
+        strings, count = strings_of(sizes, length)
+        order, new = suffix_order(np.frombuffer(b"".join(index), np.uint8), strings, length)
+        begin = np.flatnonzero(new)
+        low = np.empty(len(strings), np.int64)
+        low[order] = np.repeat(np.minimum.reduceat(np.repeat(least, count)[order], begin), np.diff(np.append(begin, len(order))))
+        inner = np.arange(many[own].sum()) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
+        out[np.repeat(first[own], many[own]) + inner] = low[np.repeat((np.cumsum(count) - count)[of], many[own]) + inner] < np.repeat(doc[own], many[own])
     return out
 
 
@@ -266,21 +297,17 @@ def _remove(docs: DataFrame, length: int, id_col: str, named: str, shard_bytes:
             for s in np.unique(shard):
                 at = np.flatnonzero(shard == s)
                 some = [d.names[k] for k in at]
-                row = [np.array([len(x) for x in some], np.int32).tobytes(), d.least[at].tobytes(), b"".join(some)]
-                yield pa.record_batch([pa.array([name], pa.int64()), pa.array([s], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["blob", "shard", "sizes", "docs", "text"])
+                row = [np.array([len(x) for x in some], np.int32).tobytes(), d.least[at].tobytes(), (d.trigger[at] & _U((1 << PART_BITS) - 1)).astype(np.uint8).tobytes(), b"".join(some)]
+                yield pa.record_batch([pa.array([name], pa.int64()), pa.array([s], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["blob", "shard", "sizes", "docs", "parts", "text"])
 
     def sort_suffixes(table: pa.Table) -> pa.Table:
         sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in table["sizes"].to_pylist()]
-        size, doc = np.concatenate(sizes), np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()])
-        text = np.frombuffer(b"".join(table["text"].to_pylist()), np.uint8)
-        many = size - length + 1
-        start = np.cumsum(size) - size
-        strings = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        found = suffix_matches(text, strings, np.repeat(doc, many), length)
+        doc, part = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()]) for c, kind in (("docs", np.int64), ("parts", np.uint8)))
+        found = repeated_strings(b"".join(table["text"].to_pylist()), np.concatenate(sizes), doc, part, length)
         cuts = np.cumsum([(s - length + 1).sum() for s in sizes])[:-1]
         return pa.table([table["blob"], table["shard"], pa.array([np.packbits(x).tobytes() for x in np.split(found, cuts)], pa.binary())], names=["blob", "shard", "found"])
 
-    phrases = blobs.join(masks.hint("shuffle_hash"), "blob").select("blob", "ids", "ends", "text", "masks").mapInArrow(to_phrases, "blob long, shard long, sizes binary, docs binary, text binary")
+    phrases = blobs.join(masks.hint("shuffle_hash"), "blob").select("blob", "ids", "ends", "text", "masks").mapInArrow(to_phrases, "blob long, shard long, sizes binary, docs binary, parts binary, text binary")
     found = phrases.groupBy("shard").applyInArrow(sort_suffixes, "blob long, shard long, found binary").groupBy("blob").agg(F.collect_list(F.struct("shard", "found")).alias("found"))
     found = materialise(masks.join(found, "blob", "left"), "phrase-matches")
 

@@ -127,16 +127,34 @@ def test_repeats(docs, rows, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
-def test_repeats_with_equal_fingerprints():
+@pytest.mark.parametrize("length", [3, 8, 13, 50])
+def test_suffix_order(length):
     rng = np.random.default_rng(7)
-    text = rng.integers(97, 99, 4000).astype(np.uint8)
+    text = rng.choice(np.array([0, 1, 97, 255], np.uint8), 4000)
     text[2000:2400] = text[100:500]
-    at = np.concatenate([np.arange(0, 1000), np.arange(2000, 3000)])
-    doc = np.repeat([3, 8], 1000)
-    want = repeats.suffix_matches(text, at, doc, 50)
-    for few in (1, 7, 97):
-        got = repeats.suffix_matches(text, at, doc, 50, fingerprint=lambda a, n: repeats.rolling(a, n) % np.uint64(few))  # noqa: B023
-        assert (got == want).all() and want.sum() == 351
+    text[3000:3200] = 0
+    at = np.concatenate([np.arange(0, 1000), np.arange(2000, 3200), [4000 - length]])
+    order, new = repeats.suffix_order(text, at, length)
+    strings = [bytes(text[p : p + length]) for p in at[order]]
+    assert strings == sorted(strings) and sorted(order) == list(range(len(at)))
+    assert new.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))] and not new.all()
+    assert [len(x) for x in repeats.suffix_order(text, at[:0], length)] == [0, 0]
+
+
+def test_repeated_strings():
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 99, 6000).astype(np.uint8)
+    text[2000:2400], text[4000:4300] = text[100:500], text[200:500]
+    size, doc = np.array([1000, 1000, 2000, 1000, 1000]), np.array([8, 3, 3, 9, 5])
+    buffer = text.tobytes()
+    start = np.cumsum(size) - size
+    first = {}
+    for a, n, d in zip(start, size, doc):
+        for i in range(a, a + n - 49):
+            first[buffer[i : i + 50]] = min(first.get(buffer[i : i + 50], d), d)
+    want = [first[buffer[i : i + 50]] < d for a, n, d in zip(start, size, doc) for i in range(a, a + n - 49)]
+    got = repeats.repeated_strings(buffer, size, doc, np.zeros(5, np.uint8), 50)
+    assert got.tolist() == want and 0 < sum(want) < len(want)
 
 
 def test_near_duplicates(docs, rows, none):

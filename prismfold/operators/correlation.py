@@ -168,7 +168,16 @@ def two_dimensional(s: Spectra, blocks: int = 512) -> DataFrame:
     return s.df.sparkSession.createDataFrame(out, "i int, j int, synchronous double, asynchronous double")
 
 
-def pair_table(df: DataFrame, value: str = "value") -> DataFrame:
-    """Upper triangle of a matrix in (row, row_group, col, col_group, value) form, with the pair of groups labelled."""
+def pair_table(df: DataFrame, value: str = "value", duplicate: bool = False) -> DataFrame:
+    """A matrix in (row, row_group, col, col_group, value) form, with the pair of groups labelled: its upper triangle, or all cells."""
     same = F.col("row_group") == F.col("col_group")
-    return df.where(F.col("row") < F.col("col")).select("row", "col", F.col(value).alias("value"), F.concat_ws("_VS._", "row_group", "col_group").alias("pair"), F.when(same, "AllWithin").otherwise("AllBetween").alias("kind"))
+    cells = df if duplicate else df.where(F.col("row") < F.col("col"))
+    return cells.select("row", "col", F.col(value).alias("value"), F.concat_ws("_VS._", "row_group", "col_group").alias("pair"), F.when(same, "AllWithin").otherwise("AllBetween").alias("kind"))
+
+
+def pair_table_with_p(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Correlations (group, i, j, r, p) of axis points with their bands' groups (pos, band_group): r and p side by side."""
+    one, two = groups.toDF("i", "row_group"), groups.toDF("j", "col_group")
+    both = pairs.join(F.broadcast(one), "i").join(F.broadcast(two), "j")  # axis points, not rows
+    same = F.col("row_group") == F.col("col_group")
+    return both.select("group", "i", "j", F.concat_ws("_VS._", "row_group", "col_group").alias("pair"), F.when(same, "AllWithin").otherwise("AllBetween").alias("kind"), "r", "p")

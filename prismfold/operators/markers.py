@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import adjust, chi2_cdf, f_cdf, normal_cdf, t_two_sided
-from ..spectra import Spectra, numbered
+from ..spectra import Spectra, numbered, stored
 from .preprocess import bubble_baseline, iterative_polyfit
 from .reduction import components, moments
 
@@ -222,6 +222,13 @@ def permutation_importance(s: Spectra, trees: int = 100, threshold: float = 0.00
     return scored.where("pos >= 0").crossJoin(F.broadcast(base)).select("pos", F.element_at(axis, F.col("pos") + 1).alias("wavenumber"), (F.col("base") - F.col("accuracy")).alias("importance")).where(F.col("importance") > threshold)
 
 
+def rbcs(s: Spectra, trees: int = 1000, threshold: float = 0.002, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Importances above the threshold from the largest on, and (group, pos, wavenumber, mean) of these axis points."""
+    found = stored(permutation_importance(s, trees, threshold, seed))
+    means = s.long().join(F.broadcast(found.select("pos")), "pos", "left_semi").groupBy("group", "pos", "wavenumber").agg(F.avg("value").alias("mean"))
+    return found.orderBy(F.desc("importance"), "pos"), means
+
+
 def dapc(s: Spectra, n_pc: int = 20, top: int = 100) -> DataFrame:
     """Axis points that weigh most in each group's one-vs-rest discriminant, back-projected from components."""
     n, m, c = moments(s.df, s.stage)

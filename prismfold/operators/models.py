@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..spectra import Spectra
+from ..spectra import Spectra, stored
 from .preprocess import map_rows
 from .reduction import components, gram, pca_model, project
 from .stats import stratified_partition
@@ -109,6 +109,37 @@ def forest_votes(df: DataFrame, trees: int = 50, folds: int = 5, seed: int = 42,
     return out
 
 
+def forest_out_of_bag(s: Spectra, trees: int = 500, bags: int = 10, mtry: int | None = None, seed: int = 42) -> DataFrame:
+    """Out-of-bag votes: (spectrum_id, group, votes, probability, prediction), classes in alphabetical order.
+
+    Each bag holds a row with the probability of a bootstrap, 1 - 1/e, by a hash of its id, and has an equal share of
+    the trees; a row's votes are those of the bags that left it out. Rows in all bags have null votes. Trees vote by
+    the shares of classes in their leaves. `mtry` columns are tried in a split, the square root of all by default.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer
+
+    data = s.df.where(F.col("group").isNotNull() & s.y.isNotNull()).select("spectrum_id", "group", array_to_vector(s.stage).alias("features"))
+    index = StringIndexer(inputCol="group", outputCol="label", stringOrderType="alphabetAsc").fit(data)
+    data = stored(index.transform(data))
+    names, none = F.array(*[F.lit(c) for c in index.labels]), F.array(*[F.lit(0.0) for _ in index.labels])
+    bags = max(2, min(bags, trees))
+    out = data.select("spectrum_id", "group", "features", none.alias("votes"))
+    for b in range(bags):
+        left = F.pmod(F.xxhash64("spectrum_id", F.lit(b), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) / np.e)
+        many = trees // bags + (b < trees % bags)
+        forest = RandomForestClassifier(numTrees=many, featureSubsetStrategy=str(mtry) if mtry else "sqrt", seed=seed + b, maxDepth=10, rawPredictionCol="__raw", probabilityCol="__p", predictionCol="__index")
+        scored = forest.fit(data.where(~left)).transform(out)
+        votes = vector_to_array("__raw")
+        # A bag that lacks the last classes votes on fewer of them.
+        more = F.transform("votes", lambda v, i: v + F.coalesce(F.get(votes, i), F.lit(0.0)))  # noqa: B023
+        out = scored.select("spectrum_id", "group", "features", F.when(left, more).otherwise(F.col("votes")).alias("votes"))
+    total = F.aggregate("votes", F.lit(0.0), lambda a, v: a + v)
+    known = out.select("spectrum_id", "group", F.when(total > 0, F.col("votes")).alias("votes"))
+    known = known.withColumn("probability", F.transform("votes", lambda v: v / total))
+    return known.withColumn("prediction", F.element_at(names, F.array_position("probability", F.array_max("probability")).cast("int")))
+
+
 @dataclass
 class LinearModel:
     """value = bias + y . weights."""

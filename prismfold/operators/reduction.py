@@ -69,11 +69,66 @@ def pca(s: Spectra, n_pc: int = 2) -> Spectra:
     return replace(s, df=df, reductions=s.reductions | {"PCA": n_pc})
 
 
-def pcoa(s: Spectra, n_pc: int = 2, pca_pc: int = 20) -> Spectra:
-    """Classical scaling of Euclidean distances between scores: the centred principal axes of the scores."""
-    scored = pca(s, min(pca_pc, len(s.axis)))
-    model = pca_model(scored.df, "PCA", n_pc, scale=False)
-    return replace(scored, df=project(scored.df, "PCA", "PCoA", model["mean"], model["vectors"]), reductions=scored.reductions | {"PCoA": n_pc})
+#: Distances that principal coordinates take; all but the Euclidean one need an n x n matrix on the driver.
+METRICS = ("euclidean", "maximum", "manhattan", "canberra", "binary", "minkowski")
+MAX_MATRIX = 5_000
+
+
+def metric_distances(x: np.ndarray, metric: str, power: float = 2) -> np.ndarray:
+    """Distances of all pairs of rows. Canberra: terms 0/0 are left out and the rest scaled up; binary: the share of
+    columns in which one is zero, of those in which not both are."""
+    n, p = x.shape
+    out = np.zeros((n, n))
+    for i in range(n):
+        d = np.abs(x[i + 1 :] - x[i])
+        if metric == "maximum":
+            row = d.max(axis=1, initial=0)
+        elif metric == "manhattan":
+            row = d.sum(axis=1)
+        elif metric == "canberra":
+            size = np.abs(x[i + 1 :]) + np.abs(x[i])
+            used = size > 0
+            row = np.where(used, d / np.where(used, size, 1), 0).sum(axis=1) * p / np.maximum(used.sum(axis=1), 1)
+        elif metric == "binary":
+            a, b = x[i] != 0, x[i + 1 :] != 0
+            row = (a ^ b).sum(axis=1) / np.maximum((a | b).sum(axis=1), 1)
+        else:
+            power_ = 2 if metric == "euclidean" else power
+            row = (d**power_).sum(axis=1) ** (1 / power_)
+        out[i, i + 1 :] = out[i + 1 :, i] = row
+    return out
+
+
+def classical_scaling(d: np.ndarray, k: int) -> np.ndarray:
+    """Coordinates whose Euclidean distances come closest to d, the largest axis first; axes without variance are zero."""
+    b = -0.5 * d**2
+    b = b - b.mean(0) - b.mean(1)[:, None] + b.mean()
+    w, v = components(b, min(k, len(b)))
+    out = np.zeros((len(b), k))
+    out[:, : len(w)] = v * np.sqrt(np.maximum(w, 0))
+    return out
+
+
+def pcoa(s: Spectra, n_pc: int = 2, pca_pc: int | None = 20, distance: str = "euclidean", power: float = 2) -> Spectra:
+    """Classical scaling of distances between scores, or between spectra without `pca_pc`.
+
+    Euclidean: the centred principal axes of the scores, for any number of rows. Other distances: at most `MAX_MATRIX`
+    rows, as their matrix is on the driver; more are refused.
+    """
+    if distance not in METRICS:
+        raise ValueError(f"distance is one of {', '.join(METRICS)}")
+    scored, column = (pca(s, min(pca_pc, len(s.axis))), "PCA") if pca_pc else (s, s.stage)
+    if distance == "euclidean":
+        model = pca_model(scored.df, column, n_pc, scale=False)
+        df = project(scored.df, column, "PCoA", model["mean"], model["vectors"])
+    else:
+        rows = scored.df.where(F.col(column).isNotNull()).select("spectrum_id", column).orderBy("spectrum_id").limit(MAX_MATRIX + 1).collect()
+        if len(rows) > MAX_MATRIX:
+            raise ValueError(f"more than {MAX_MATRIX} spectra; only Euclidean distances take any number")
+        places = classical_scaling(metric_distances(np.array([r[1] for r in rows], float), distance, power), n_pc)
+        placed = s.df.sparkSession.createDataFrame([(r[0], y) for r, y in zip(rows, places.tolist(), strict=True)], "spectrum_id long, PCoA array<double>")
+        df = scored.df.drop("PCoA").join(F.broadcast(placed), "spectrum_id", "left")
+    return replace(scored, df=df, reductions=scored.reductions | {"PCoA": n_pc})
 
 
 def _landmarks(df: DataFrame, y: str, most: int) -> np.ndarray:
@@ -139,6 +194,28 @@ def nearest_neighbours(x: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray,
     return near, np.take_along_axis(d, near, 1)
 
 
+def umap_curve(min_dist: float, spread: float) -> tuple[float, float]:
+    """a and b of 1/(1 + a d^2b) nearest to 1 up to min_dist and exp(-(d - min_dist)/spread) beyond, by damped least squares."""
+    d = np.linspace(0, 3 * spread, 300)[1:]
+    want = np.where(d < min_dist, 1.0, np.exp(-(d - min_dist) / spread))
+    at, damp = np.zeros(2), 1e-2  # logarithms of a and b
+    model = lambda q: 1 / (1 + np.exp(q[0]) * d ** (2 * np.exp(q[1])))
+    error = ((model(at) - want) ** 2).sum()
+    for _ in range(200):
+        f = model(at)
+        slope = -f * (1 - f)
+        j = np.column_stack([slope, slope * 2 * np.exp(at[1]) * np.log(d)])
+        move = np.linalg.solve(j.T @ j + damp * np.eye(2), j.T @ (want - f))
+        new = ((model(at + move) - want) ** 2).sum()
+        if new < error:
+            at, error, damp = at + move, new, damp / 3
+        else:
+            damp *= 4
+        if np.abs(move).max() < 1e-10:
+            break
+    return float(np.exp(at[0])), float(np.exp(at[1]))
+
+
 def umap_layout(x: np.ndarray, neighbours: int, seed: int, epochs: int = 200, a: float = 0.9922, b: float = 1.112) -> np.ndarray:
     n = len(x)
     near, d = nearest_neighbours(x, min(neighbours, n - 1), cosine=True)
@@ -173,7 +250,9 @@ def umap_layout(x: np.ndarray, neighbours: int, seed: int, epochs: int = 200, a:
     return y
 
 
-def umap(s: Spectra, pca_pc: int = 20, neighbours: int = 30, seed: int = 42, landmarks: int = 1000) -> Spectra:
+def umap(s: Spectra, pca_pc: int = 20, neighbours: int = 30, seed: int = 42, landmarks: int = 1000, min_dist: float | None = None, spread: float = 1.0) -> Spectra:
+    """Curve constants are fixed (a 0.9922, b 1.112) unless a minimal distance is given, from which and the spread they follow."""
+    curve = {} if min_dist is None else dict(zip("ab", umap_curve(min_dist, spread), strict=True))
     scored = pca(s, min(pca_pc, len(s.axis)))
     x = _landmarks(scored.df, "PCA", landmarks)
-    return replace(scored, df=_place(scored.df, "PCA", "UMAP", x, umap_layout(x, neighbours, seed)), reductions=scored.reductions | {"UMAP": 2})
+    return replace(scored, df=_place(scored.df, "PCA", "UMAP", x, umap_layout(x, neighbours, seed, **curve)), reductions=scored.reductions | {"UMAP": 2})

@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, correlation, decompose, markers, models, preprocess, quality, reduction, stats
-from ..sources import files
+from ..operators import cluster, correlation, decompose, markers, models, plotdata, preprocess, quality, reduction, stats
+from ..sources import files, reports
+from ..sources import sample as made
 from ..spectra import Spectra, shared_folder
 
 POINTS = 64
@@ -456,6 +457,46 @@ def matrix_pairs(spark, sf_dir):
     return correlation.pair_table(m).withColumn("value", r("value", 4))
 
 
+_LEVELS = "(SELECT l_returnflag, CASE WHEN l_returnflag = 'N' THEN 'x' ELSE 'y' END AS g, avg(l_quantity) AS q FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"""SELECT a.l_returnflag AS "row", b.l_returnflag AS col, round(abs(a.q - b.q), 4) AS value, a.g || '_VS._' || b.g AS pair, CASE WHEN a.g = b.g THEN 'AllWithin' ELSE 'AllBetween' END AS kind
+  FROM {_LEVELS} a CROSS JOIN {_LEVELS} b""")
+def matrix_cells(spark, sf_dir):
+    q = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("q")).withColumn("g", F.when(F.col("l_returnflag") == "N", "x").otherwise("y"))
+    a, b = q.toDF("row", "qa", "row_group"), q.toDF("col", "qb", "col_group")
+    m = a.crossJoin(F.broadcast(b)).withColumn("value", F.abs(F.col("qa") - F.col("qb")))  # a level by level matrix
+    return correlation.pair_table(m, duplicate=True).withColumn("value", r("value", 4))
+
+
+@query("""SELECT a.grp AS "group", a.pos AS i, b.pos AS j, 'B' || a.pos // 16 || '_VS._B' || b.pos // 16 AS pair, CASE WHEN a.pos // 16 = b.pos // 16 THEN 'AllWithin' ELSE 'AllBetween' END AS kind, round(corr(a.v, b.v), 6) AS r
+  FROM p a JOIN p b ON a.spectrum_id = b.spectrum_id AND a.pos < b.pos GROUP BY 1, 2, 3""")
+def correlation_pairs_labelled(spark, sf_dir):
+    bands = spark.createDataFrame([(i, f"B{i // 16}") for i in range(POINTS)], "pos int, band_group string")
+    out = correlation.pair_table_with_p(correlation.correlation_pairs(planted(spark, sf_dir)), bands)
+    return out.select("group", "i", "j", "pair", "kind", r("r").alias("r"))
+
+
+_LINKS = """, g AS (SELECT p.* FROM p JOIN o USING (spectrum_id) WHERE NOT outlier), e AS (SELECT a.grp, a.pos AS i, b.pos AS j, corr(a.v, b.v) AS r FROM g a JOIN g b ON a.spectrum_id = b.spectrum_id AND a.pos < b.pos GROUP BY 1, 2, 3),
+k AS (SELECT grp, (500 + 42 * i)::DOUBLE AS wave_1, (500 + 42 * j)::DOUBLE AS wave_2, r FROM e WHERE abs(r) > 0.6)"""
+
+
+@query(_OUT + _LINKS + " SELECT grp AS \"group\", wave_1, wave_2, round(r, 6) AS r FROM k")
+def chord_links(spark, sf_dir):
+    return plotdata.chord_links(planted(spark, sf_dir), sign="both").select("group", "wave_1", "wave_2", r("r").alias("r"))
+
+
+@query(_OUT + _LINKS + """ SELECT grp AS "group", wave, count(*) AS degree, round(sum(r), 6) AS sum_r, round(avg(r), 6) AS mean_r FROM (SELECT grp, wave_1 AS wave, r FROM k UNION ALL SELECT grp, wave_2, r FROM k) GROUP BY 1, 2""")
+def chord_nodes(spark, sf_dir):
+    return plotdata.chord_nodes(plotdata.chord_links(planted(spark, sf_dir), sign="both")).select("group", "wave", "degree", r("sum_r").alias("sum_r"), r("mean_r").alias("mean_r"))
+
+
+@query(_OUT + _LINKS + """ SELECT grp AS "group", wave_1, wave_2, round(r, 6) AS r, a.g AS band_group_1, b.g AS band_group_2 FROM k JOIN (VALUES (794.0, 'Nucleic acid'), (1340.0, 'Nucleic acid'), (1004.0, 'Protein'), (1676.0, 'Protein'), (2390.0, 'Lipids'), (1466.0, 'Lipids')) a(w, g) ON a.w = wave_1
+  JOIN (VALUES (794.0, 'Nucleic acid'), (1340.0, 'Nucleic acid'), (1004.0, 'Protein'), (1676.0, 'Protein'), (2390.0, 'Lipids'), (1466.0, 'Lipids')) b(w, g) ON b.w = wave_2 WHERE r < 0""")
+def chord_links_local(spark, sf_dir):
+    return plotdata.local_chord(planted(spark, sf_dir), _ANN).select("group", "wave_1", "wave_2", r("r").alias("r"), "band_group_1", "band_group_2")
+
+
 # --- reduction, clustering -------------------------------------------------------------------
 
 
@@ -485,6 +526,11 @@ def reduction_pcoa(spark, sf_dir):
     return reduction.pcoa(spectra(spark, sf_dir)).df.select("spectrum_id", F.posexplode("PCoA").alias("component", "score"))
 
 
+@query()
+def reduction_pcoa_manhattan(spark, sf_dir):
+    return reduction.pcoa(spectra(spark, sf_dir), distance="manhattan").df.select("spectrum_id", F.posexplode("PCoA").alias("component", "score"))
+
+
 @query()
 def reduction_tsne(spark, sf_dir):
     return reduction.tsne(spectra(spark, sf_dir)).df.select("spectrum_id", F.posexplode("tSNE").alias("component", "score"))
@@ -560,6 +606,35 @@ def forest_out_of_fold(spark, sf_dir):
     return models.forest_votes(planted(spark, sf_dir).df).select("spectrum_id", "group", "prediction")
 
 
+@query()
+def forest_out_of_bag(spark, sf_dir):
+    return models.forest_out_of_bag(planted(spark, sf_dir)).select("spectrum_id", "group", "prediction")
+
+
+@query()
+def markers_rbcs_means(spark, sf_dir):
+    return markers.rbcs(planted(spark, sf_dir))[1]
+
+
+_FLAGS = "SELECT l_returnflag AS t, CASE WHEN l_quantity > 25 THEN 'N' ELSE l_returnflag END AS q FROM lineitem"
+
+
+def _flags(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("group"), F.when(F.col("l_quantity") > 25, "N").otherwise(F.col("l_returnflag")).alias("prediction"))
+
+
+@query(f"""WITH v AS ({_FLAGS}), s AS (SELECT avg((t <> q)::INT) AS e, stddev_samp((t <> q)::INT) AS d, (SELECT 1 - max(n) / sum(n) FROM (SELECT count(*)::DOUBLE AS n FROM v GROUP BY t)) AS b FROM v)
+SELECT item, value FROM (SELECT 'Model' AS item, 'Random Forest' AS value UNION ALL SELECT 'Error type', 'oob' UNION ALL SELECT 'Number of trees', '500' UNION ALL SELECT 'Estimated error', printf('%.5f', e) FROM s UNION ALL SELECT 'Standard deviation', printf('%.5f', d) FROM s
+  UNION ALL SELECT 'Baseline error (for random guessing)', printf('%.5f', b) FROM s UNION ALL SELECT 'Ratio baseline error to observed error', printf('%.5f', b / e) FROM s)""")
+def forest_summary(spark, sf_dir):
+    return reports.forest_summary(_flags(spark, sf_dir), 500)
+
+
+@query(f"""WITH v AS ({_FLAGS}) SELECT t AS "group", sum((q = 'A')::INT)::BIGINT AS "A", sum((q = 'N')::INT)::BIGINT AS "N", sum((q = 'R')::INT)::BIGINT AS "R", round(1 - avg((t = q)::INT), 6) + 0.0 AS error FROM v GROUP BY t""")
+def forest_confusion(spark, sf_dir):
+    return reports.confusion_table(_flags(spark, sf_dir)).select(F.col("True\\Predicted").alias("group"), "A", "N", "R", r("Class error").alias("error"))
+
+
 @query()
 def decompose_nmf(spark, sf_dir):
     return decompose.nmf(spectra(spark, sf_dir))[0].select("spectrum_id", F.posexplode("W").alias("component", "weight"))
@@ -662,6 +737,31 @@ def clamp_colour(spark, sf_dir):
     return stats.clamp(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal").withColumn("c_acctbal", r("c_acctbal", 4))
 
 
+@query("SELECT c_custkey AS spectrum_id, c_acctbal::DOUBLE AS x, c_nationkey::DOUBLE AS y, c_mktsegment AS colour FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL")
+def scatter_points(spark, sf_dir):
+    return plotdata.scatter(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "spectrum_id"), "c_acctbal", "c_nationkey", "c_mktsegment")
+
+
+def _panels(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("spectrum_id"), F.concat(F.lit("G"), F.col("label")).alias("group"), (F.col("vec_id") % 3).alias("cluster"), F.col("embedding").cast("array<double>").alias("layout"))
+    return plotdata.time_series(e, "layout")
+
+
+@query("SELECT 'G' || label AS panel, vec_id AS spectrum_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS x, round(embedding[2]::DOUBLE, 6) + 0.0 AS y, 'Cluster_' || vec_id % 3 AS cluster FROM embeddings")
+def time_series_points(spark, sf_dir):
+    return _panels(spark, sf_dir).withColumn("x", r("x")).withColumn("y", r("y"))
+
+
+@query()
+def time_series_hulls(spark, sf_dir):
+    return plotdata.hulls(_panels(spark, sf_dir))
+
+
+@query("SELECT 'T' || i AS \"group\", 100::BIGINT AS n, 800 AS points FROM (SELECT unnest(range(5)) AS i)")
+def sample_collection(spark, sf_dir):
+    return made.sample(spark).df.groupBy("group").agg(F.count("*").alias("n"), F.max(F.size("raw_data")).alias("points"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

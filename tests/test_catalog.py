@@ -11,11 +11,11 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["smooth_sg", "normalize_ch", "markers_roc", "correlation_network", "quality_snr", "coordinate_layout"])
+@pytest.mark.parametrize("name", ["smooth_sg", "normalize_ch", "markers_roc", "correlation_network", "quality_snr", "coordinate_layout", "matrix_cells", "correlation_pairs_labelled", "forest_summary", "forest_confusion", "scatter_points", "time_series_points", "sample_collection"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
-    for t in ("embeddings", "events", "labels"):
+    for t in ("embeddings", "events", "labels", "lineitem", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = catalog.queries()[name](spark, DIR)
     rows = sorted(map(repr, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))

@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spectra import Spectra, stored
-from .preprocess import map_rows
-from .reduction import components, gram, pca_model, project
+from .preprocess import map_rows, rectangle
+from .reduction import components, gram, moments, pca_model, project
 from .stats import stratified_partition
 
 
@@ -22,6 +23,11 @@ def split(s: Spectra, share: float = 0.7, seed: int = 42) -> tuple[Spectra, Spec
     return take("true"), take("false")
 
 
+def _best(names, scores: str):
+    """The name of the largest score, the first of equal ones; null without scores, where array_position alone would not be."""
+    return F.when(F.col(scores).isNotNull(), F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int")))
+
+
 @dataclass
 class LinearDiscriminant:
     """Scaled components, then a Gaussian for each class with one covariance."""
@@ -40,7 +46,7 @@ class LinearDiscriminant:
 
         out = map_rows(df, y, "probability", fn)
         names = F.array(*[F.lit(c) for c in self.classes])
-        return out.withColumn("prediction", F.element_at(names, F.array_position("probability", F.array_max("probability")).cast("int")))
+        return out.withColumn("prediction", _best(names, "probability"))
 
 
 def lda(train: Spectra, n_pc: int = 20) -> LinearDiscriminant:
@@ -82,12 +88,119 @@ def _pipeline(train: Spectra, estimator, scale: bool, probabilities: bool) -> Ml
     return MlClassifier(PipelineModel(stages=[*model.stages, IndexToString(inputCol="__index", outputCol="__name", labels=index.labels)]), probabilities)
 
 
-def svm(train: Spectra, iterations: int = 50) -> MlClassifier:
-    """Linear support vectors, one class against the rest, on scaled columns."""
-    from pyspark.ml.classification import LinearSVC, OneVsRest
+@dataclass
+class PairwiseSupport:
+    """Scaled columns, a separating plane for each pair of classes, and the class that most of them choose."""
+
+    classes: list[str]
+    centre: np.ndarray
+    scale: np.ndarray
+    planes: np.ndarray
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return [(i, j) for i in range(len(self.classes)) for j in range(i + 1, len(self.classes))]
+
+    def predict(self, df: DataFrame, y: str) -> DataFrame:
+        """Votes and prediction of each row, of equal votes the first class; there are no probabilities."""
+        first, second = (np.eye(len(self.classes))[[pair[k] for pair in self.pairs()]].reshape(-1, len(self.classes)) for k in (0, 1))
+
+        def fn(x):
+            side = (x - self.centre) / self.scale @ self.planes[:, 1:].T + self.planes[:, 0] > 0
+            return side @ first + ~side @ second
 
-    one = LinearSVC(maxIter=iterations, regParam=0.01, rawPredictionCol="__raw")
-    return _pipeline(train, OneVsRest(classifier=one, featuresCol="__scaled", labelCol="label", predictionCol="__index", rawPredictionCol="__raw"), True, False)
+        names = F.array(*[F.lit(c) for c in self.classes])
+        out = map_rows(df, y, "votes", fn).withColumn("probability", F.lit(None).cast("array<double>"))
+        return out.withColumn("prediction", _best(names, "votes"))
+
+
+def _hinge(data: DataFrame, planes: np.ndarray, first: np.ndarray, second: np.ndarray, soft: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hinge losses, rounded off within `soft` of the corner, of all planes over the rows of their two classes, and the gradients."""
+
+    def run(batches):
+        out = np.zeros((len(planes), planes.shape[1] + 1))
+        for batch in batches:
+            label, x = batch.column(0).to_numpy()[:, None], rectangle(batch.column(1))
+            sign = (label == first).astype(float) - (label == second)
+            short = 1 - sign * (x @ planes[:, 1:].T + planes[:, 0])
+            near = np.clip((short + soft) / (2 * soft), 0, 1)
+            out[:, 0] += (np.where(short > soft, short, soft * near**2) * (sign != 0)).sum(axis=0)
+            slope = -sign * near
+            out[:, 1] += slope.sum(axis=0)
+            out[:, 2:] += slope.T @ x
+        yield pa.record_batch([pa.array(np.arange(len(out)), pa.int32()), pa.array(out.tolist(), pa.list_(pa.float64()))], names=["i", "row"])
+
+    rows = data.mapInArrow(run, "i int, row array<double>").groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).orderBy("i").collect()
+    out = np.array([r["row"].toArray() for r in rows])
+    return out[:, 0], out[:, 1:]
+
+
+def _descent(gradient: np.ndarray, moves: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The quasi-Newton direction by the last moves and the changes of the gradient along them."""
+    q, used = gradient.copy(), []
+    for s, y in reversed(moves):
+        share = (s @ q) / (s @ y)
+        used.append(share)
+        q -= share * y
+    if moves:
+        s, y = moves[-1]
+        q *= (s @ y) / (y @ y)
+    else:
+        q /= max(np.linalg.norm(q), 1.0)
+    for (s, y), share in zip(moves, reversed(used), strict=True):
+        q += (share - (y @ q) / (s @ y)) * s
+    return -q
+
+
+def svm(train: Spectra, cost: float = 1.0, passes: int = 150, tolerance: float = 1e-3, soft: float = 0.05) -> PairwiseSupport:
+    """Linear C-classification on scaled columns, one plane for each pair of classes.
+
+    Each pass over the data gives losses and gradients of all planes that still move, a row a plane for the driver;
+    each plane takes its own quasi-Newton steps. The corner of the hinge is rounded off within `soft`, which raises
+    the loss of a row by soft / 4 at most. Rows without group or spectrum are left out.
+    """
+    known = train.df.where(F.col("group").isNotNull() & train.y.isNotNull())
+    classes = [r[0] for r in known.select("group").distinct().orderBy("group").collect()]  # classes, not rows
+    if not classes:
+        raise ValueError("no spectrum with a group")
+    _, centre, cov = moments(known, train.stage)
+    scale = np.sqrt(np.maximum(np.diag(cov), 0))
+    scale[~(scale > 0)] = 1
+    model = PairwiseSupport(classes, centre, scale, np.zeros((0, len(centre) + 1)))
+    pairs = model.pairs()
+    model.planes = w = np.zeros((len(pairs), len(centre) + 1))
+    if not pairs:
+        return model
+    names = F.array(*[F.lit(c) for c in classes])
+    labelled = known.select((F.array_position(names, F.col("group")) - 1).cast("int").alias("label"), train.y.alias("y"))
+    data = stored(map_rows(labelled, "y", "x", lambda x: (x - centre) / scale).select("label", "x"))
+    first, second = np.array(pairs).T
+
+    def objective(planes, at):
+        loss, slope = _hinge(data, planes, first[at], second[at], soft)
+        flat = planes.copy()
+        flat[:, 0] = 0
+        return (flat**2).sum(axis=1) / 2 + cost * loss, flat + cost * slope
+
+    value, slope = objective(w, np.arange(len(pairs)))
+    stop = tolerance * np.maximum(np.abs(slope).max(axis=1), 1e-12)
+    moves: list[list] = [[] for _ in pairs]
+    way, step = np.array([_descent(g, []) for g in slope]), np.ones(len(pairs))
+    for _ in range(passes):
+        at = np.flatnonzero((np.abs(slope).max(axis=1) > stop) & (step > 1e-8))
+        if not len(at):
+            break
+        tried = w[at] + step[at, None] * way[at]
+        new, g = objective(tried, at)
+        for k, i in enumerate(at):
+            if new[k] > value[i] + 1e-4 * step[i] * (slope[i] @ way[i]):
+                step[i] /= 2
+                continue
+            change = (tried[k] - w[i], g[k] - slope[i])
+            if change[0] @ change[1] > 1e-12 * (change[1] @ change[1]):
+                moves[i] = [*moves[i][-9:], change]
+            w[i], value[i], slope[i] = tried[k], new[k], g[k]
+            way[i], step[i] = _descent(slope[i], moves[i]), 1.0
+    return model
 
 
 def random_forest(train: Spectra, trees: int = 100, mtry: int = 2, seed: int = 42) -> MlClassifier:
@@ -137,7 +250,7 @@ def forest_out_of_bag(s: Spectra, trees: int = 500, bags: int = 10, mtry: int |
     total = F.aggregate("votes", F.lit(0.0), lambda a, v: a + v)
     known = out.select("spectrum_id", "group", F.when(total > 0, F.col("votes")).alias("votes"))
     known = known.withColumn("probability", F.transform("votes", lambda v: v / total))
-    return known.withColumn("prediction", F.element_at(names, F.array_position("probability", F.array_max("probability")).cast("int")))
+    return known.withColumn("prediction", _best(names, "probability"))
 
 
 @dataclass

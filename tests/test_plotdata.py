@@ -100,6 +100,7 @@ def test_forest_and_reports(spark, tmp_path):
     # A row gets the trees of the bags that left it out, five each.
     assert all(r["votes"] is None or abs(sum(r["votes"]) % 5) < 1e-6 or abs(sum(r["votes"]) % 5 - 5) < 1e-6 for r in rows)
     known = [r for r in rows if r["prediction"] is not None]
+    assert all((r["votes"] is None) == (r["prediction"] is None) for r in rows)
     assert len(known) > 100 and np.mean([r["group"] == r["prediction"] for r in known]) > 0.9
     # Labels without meaning are not learnt: the votes are not those of trees that saw the row.
     mixed = s.write(s.stage, s.df.withColumn("group", F.concat(F.lit("L"), F.pmod(F.xxhash64("spectrum_id"), F.lit(2)).cast("string"))))

@@ -21,6 +21,7 @@ def forest_summary(votes: DataFrame, trees: int, error_type: str = "oob", label:
     one = known.groupBy(label).agg(F.count("*").alias("n"), F.sum(wrong).alias("w")).agg(n.alias("n"), (F.sum("w") / n).alias("error"), (1 - largest / n).alias("base"))
     deviation = F.sqrt(F.try_divide(F.col("n") * F.col("error") * (1 - F.col("error")), F.col("n") - 1))
     text = lambda c: F.format_string("%.5f", c)
+    # The items of the report.
     rows = [
         ("Model", F.lit("Random Forest")), ("Error type", F.lit(error_type)), ("Estimated error", text(F.col("error"))), ("Standard deviation", text(deviation)),
         ("Baseline error (for random guessing)", text(F.col("base"))), ("Ratio baseline error to observed error", F.when(F.col("error") > 0, text(F.col("base") / F.col("error")))), ("Number of trees", F.lit(str(trees))),

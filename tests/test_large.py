@@ -25,3 +25,24 @@ def test_distances_of_missing_points(spark):
     s = Spectra.of(spark.createDataFrame(rows, "spectrum_id long, group string, raw_data array<double>"), range(2))
     got = {(r[0], r[1]): r[2] for r in cluster.distances(s).collect()}
     assert len(got) == 10 and got[0, 3] == 5 and np.isnan(got[0, 4]) and [k for k, v in got.items() if v is None] and all((v is None) == (1 in k or 2 in k) for k, v in got.items())
+
+
+def test_neighbours_without_broadcast(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("all vectors in one place")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    x = np.random.default_rng(2).integers(-2, 3, (700, 3)).astype(float)  # many ties
+    x[5] = 0
+    got = cluster.nearest_pairs(collection(spark, x).df, "raw_data", 7).collect()
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sim = np.round(unit @ unit.T, 12)
+    np.fill_diagonal(sim, -np.inf)
+    near = np.argsort(-sim, axis=1, kind="stable")[:, :7]
+    assert sorted((r[0], r[3], r[1]) for r in got) == [(i, k + 1, int(near[i, k])) for i in range(700) for k in range(7)]
+    assert all(abs(r[2] - sim[r[0], r[1]]) < 1e-9 for r in got)
+
+
+def test_fewer_vectors_than_neighbours(spark):
+    got = cluster.nearest_pairs(collection(spark, np.eye(4) + 0.5).df, "raw_data", 30).collect()
+    assert len(got) == 12 and {r[3] for r in got} == {1, 2, 3}

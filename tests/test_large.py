@@ -46,3 +46,23 @@ def test_neighbours_without_broadcast(spark, monkeypatch):
 def test_fewer_vectors_than_neighbours(spark):
     got = cluster.nearest_pairs(collection(spark, np.eye(4) + 0.5).df, "raw_data", 30).collect()
     assert len(got) == 12 and {r[3] for r in got} == {1, 2, 3}
+
+
+def test_tree_of_any_number(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (150, 4)), rng.normal(9, 0.01, (60, 4)), np.ones((20, 4))])  # scattered, close together, copies
+    s = collection(spark, x)
+    form = lambda df: [(r["left"], r["right"], round(r["height"], 8), r["size"]) for r in df.orderBy("step").collect()]
+    whole, rounds = form(cluster.hca(s)), form(cluster.hca(s, 15))
+    assert len(rounds) == len(x) - 1 and sorted(rounds) == sorted(whole) and [r[2] for r in rounds] == sorted(r[2] for r in rounds)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    parts = {i: [i] for i in range(len(x))}
+    for a, b, height, size in rounds:  # each merge by definition
+        assert abs(d[np.ix_(parts[a], parts[b])].mean() - height) < 1e-6
+        parts[a] += parts.pop(b)
+        assert len(parts[a]) == size
+
+
+def test_tree_beyond_the_old_bound(spark):
+    x = np.random.default_rng(4).normal(0, 1, (5_200, 2))
+    assert cluster.hca(collection(spark, x)).agg(F.count("*"), F.max("size")).first()[:] == (5_199, 5_200)

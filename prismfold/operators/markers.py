@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +47,81 @@ def ratios(s: Spectra, both: bool = False, extra: tuple[str, ...] = ("group",))
     return s.df.select("spectrum_id", *extra, F.inline(pairs)).withColumn("wave_i", F.element_at(axis, F.col("i") + 1)).withColumn("wave_j", F.element_at(axis, F.col("j") + 1))
 
 
+def group_aucs(value: np.ndarray, code: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members and one-vs-rest AUC of each group, from descending mid-ranks; NaN are equal and the largest."""
+    order = np.argsort(value)
+    v = value[order]
+    starts = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))))
+    ends = np.append(starts[1:], len(v))
+    rank = np.repeat(len(v) + 1 - (starts + 1 + ends) / 2, ends - starts)
+    p = np.bincount(code, minlength=groups).astype(float)
+    r, rest = np.bincount(code[order], weights=rank, minlength=groups), p * (len(v) - p)
+    return p, np.where(rest > 0, (r - p * (p + 1) / 2) / np.where(rest > 0, rest, 1), 0.0)
+
+
+def pair_aucs(s: Spectra, direction: str = "lower") -> DataFrame:
+    """(i, j, group, auc) of the ratios y_i / y_j for i < j.
+
+    Rows are turned into strips of columns, and a task takes two strips: a ratio is never a row of a table, and each
+    column is sent once for each strip.
+    """
+    n = len(s.axis)
+    strip = max(8, n // 64)
+    strips = -(-n // strip)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in enumerate(batches):
+            b = b.filter(b.column(1).is_valid())
+            if not b.num_rows:
+                continue
+            groups, flat = b.column(0).dictionary_encode(null_encoding="encode"), b.column(1).flatten()
+            code = groups.indices.to_numpy().astype(np.int32)
+            y = flat.to_numpy(zero_copy_only=False).reshape(b.num_rows, n).T
+            there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(b.num_rows, n).T
+            key = (TaskContext.get().partitionId() << 32) + k
+            for t in range(strips):
+                at = slice(t * strip, (t + 1) * strip)
+                row = [[t], [key], [groups.dictionary.to_pylist()], [code.tobytes()], [y[at].tobytes()], [there[at].tobytes()]]
+                yield pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["strip", "key", "groups", "code", "y", "there"])
+
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+    parts = s.df.select(F.col("group").cast("string"), s.y.cast("array<double>").alias("y")).mapInArrow(cut, "strip int, key long, groups array<string>, code binary, y binary, there binary")
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        names: dict[str | None, int] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                code = np.frombuffer(r["code"], np.int32)
+                own = np.array([names.setdefault(g, len(names)) for g in r["groups"]])
+                shape = (-1, len(code))
+                held.setdefault(r["strip"], []).append((r["key"], own[code], np.frombuffer(r["y"]).reshape(shape), np.frombuffer(r["there"], bool).reshape(shape)))
+        joined = {}
+        for t, v in sorted(held.items()):
+            v.sort(key=lambda x: x[0])
+            joined[t] = (np.concatenate([x[1] for x in v]), np.hstack([x[2] for x in v]), np.hstack([x[3] for x in v]))
+            held[t] = []
+        (first, (code, a, has)), (last, (_, b, also)) = list(joined.items())[0], list(joined.items())[-1]
+        label = pa.array(list(names), pa.string())
+        for i in range(len(a)):
+            for j in range(i + 1 if first == last else 0, len(b)):
+                known = has[i] & also[j] & (b[j] != 0)
+                if not known.any():
+                    continue
+                with np.errstate(all="ignore"):
+                    p, auc = group_aucs(a[i][known] / b[j][known], code[known], len(names))
+                at = np.flatnonzero(p)
+                pair = [pa.array(np.full(len(at), x), pa.int32()) for x in (first * strip + i, last * strip + j)]
+                yield pa.record_batch([*pair, label.take(pa.array(at)), pa.array((auc if direction == "lower" else 1 - auc)[at])], names=["i", "j", "group", "auc"])
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))
+    many = parts.withColumn("__other", other).withColumn("__tile", F.least("strip", "__other") * strips + F.greatest("strip", "__other")).drop("__other")
+    count = strips * (strips + 1) // 2
+    return many.repartition(min(4 * count, max(count, 1000)), "__tile").groupBy("__tile").applyInArrow(ranked, "i int, j int, group string, auc double")
+
+
 def roc_pairs(s: Spectra, threshold: float = 0.75, direction: str = "lower") -> DataFrame:
-    return auc_by_rank(ratios(s).where("value IS NOT NULL"), ["i", "j"], direction).where(F.col("auc") > threshold)
+    return pair_aucs(s, direction).where(F.col("auc") > threshold)
 
 
 def numeric_label(group: Column) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismfold.operators import cluster
+from prismfold.operators import cluster, markers
 from prismfold.spectra import Spectra
 
 
@@ -66,3 +66,18 @@ def test_tree_of_any_number(spark):
 def test_tree_beyond_the_old_bound(spark):
     x = np.random.default_rng(4).normal(0, 1, (5_200, 2))
     assert cluster.hca(collection(spark, x)).agg(F.count("*"), F.max("size")).first()[:] == (5_199, 5_200)
+
+
+def test_paired_ranks_are_no_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (300, 19)).astype(float)  # ties, zeros, more than two strips
+    rows = [(i, None if i % 7 == 0 else f"G{i % 3}", v) for i, v in enumerate(x.tolist())]
+    rows[3][2][4] = None
+    rows[4][2][5] = float("nan")
+    rows.append((300, "G0", None))
+    s = Spectra.of(spark.createDataFrame(rows, "spectrum_id long, group string, raw_data array<double>").repartition(3), range(19))
+    want = markers.auc_by_rank(markers.ratios(s).where("value IS NOT NULL"), ["i", "j"])
+    got = markers.pair_aucs(s)
+    form = lambda df: sorted((r["i"], r["j"], str(r["group"]), round(r["auc"], 12)) for r in df.collect())
+    assert form(got) == form(want) and len(form(got)) == 19 * 18 // 2 * 4
+    assert "inline" not in markers.roc_pairs(s)._jdf.queryExecution().toString()  # one row for each spectrum and pair

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismfold.operators import cluster, markers
+from prismfold.operators import cluster, markers, reduction
 from prismfold.spectra import Spectra
 
 
@@ -81,3 +81,16 @@ def test_paired_ranks_are_no_rows(spark):
     form = lambda df: sorted((r["i"], r["j"], str(r["group"]), round(r["auc"], 12)) for r in df.collect())
     assert form(got) == form(want) and len(form(got)) == 19 * 18 // 2 * 4
     assert "inline" not in markers.roc_pairs(s)._jdf.queryExecution().toString()  # one row for each spectrum and pair
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "canberra"])
+def test_principal_coordinates_without_their_matrix(spark, metric):
+    x = np.random.default_rng(6).normal(0, 1, (400, 6)) * [5, 4, 2, 1, 1, 1]
+    want = reduction.classical_scaling(reduction.metric_distances(x, metric), 3)
+    assert np.allclose(reduction.distributed_scaling(spark, x, 3, metric), want, atol=1e-6)
+
+
+def test_principal_coordinates_beyond_the_old_bound(spark):
+    x = np.random.default_rng(7).normal(0, 1, (5_100, 2)) * [3, 1]
+    out = reduction.pcoa(collection(spark, x), 1, None, "manhattan").df.selectExpr("PCoA[0] AS p", "raw_data[0] AS x").agg(F.count("p"), F.corr("p", "x")).first()
+    assert out[0] == 5_100 and abs(out[1]) > 0.9

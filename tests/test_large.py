@@ -94,3 +94,20 @@ def test_principal_coordinates_beyond_the_old_bound(spark):
     x = np.random.default_rng(7).normal(0, 1, (5_100, 2)) * [3, 1]
     out = reduction.pcoa(collection(spark, x), 1, None, "manhattan").df.selectExpr("PCoA[0] AS p", "raw_data[0] AS x").agg(F.count("p"), F.corr("p", "x")).first()
     assert out[0] == 5_100 and abs(out[1]) > 0.9
+
+
+def test_communities_without_broadcast(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("all vectors in one place")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.3, (60, 6)) + 4 * np.eye(6)[g] for g in range(3)])
+    rows = cluster.louvain_clusters(collection(spark, x), (0.5,), 6, 10).orderBy("spectrum_id").collect()
+    of = [r[1] for r in rows]
+    assert [r[0] for r in rows] == list(range(180)) and of[0] == 0 and len({(i // 60, c) for i, c in enumerate(of)}) == len(set(of)) >= 3
+
+
+def test_graph_adds_up_equal_edges():
+    starts, to, w = cluster._graph(np.array([0, 1, 2, 2]), np.array([1, 0, 2, 0]), np.array([1.0, 2.0, 5.0, 4.0]), 3)
+    assert starts.tolist() == [0, 2, 3, 5] and to.tolist() == [1, 2, 0, 0, 2] and w.tolist() == [3, 4, 3, 4, 5]

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismfold.operators import cluster, markers, reduction
-from prismfold.spectra import Spectra
+from prismfold.operators import cluster, markers, quality, reduction
+from prismfold.spectra import Spectra, stored
 
 
 def collection(spark, x, group=lambda i: f"G{i % 3}"):
@@ -111,3 +111,21 @@ def test_communities_without_broadcast(spark, monkeypatch):
 def test_graph_adds_up_equal_edges():
     starts, to, w = cluster._graph(np.array([0, 1, 2, 2]), np.array([1, 0, 2, 0]), np.array([1.0, 2.0, 5.0, 4.0]), 3)
     assert starts.tolist() == [0, 2, 3, 5] and to.tolist() == [1, 2, 0, 0, 2] and w.tolist() == [3, 4, 3, 4, 5]
+
+
+def test_distance_looks_at_rows_once_cut_no_more(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(0, 0.4, (200, 8))
+    s = collection(spark, x)
+    kept, gone = np.ones(len(x), bool), 1.0
+    for _ in range(200):  # by definition, on the whole matrix
+        centre = x[kept].mean(0)
+        d = np.linalg.norm(x - centre, axis=1)
+        if d[kept].max() <= 1:
+            break
+        limit = max(np.percentile(d[kept], 90), 1) * gone
+        gone = gone * 0.95 if d[kept].max() <= limit else 1.0
+        kept &= ~(d > max(limit, 1))
+    stores = []
+    monkeypatch.setattr(quality, "stored", lambda df: stores.append(1) or stored(df))
+    rows = quality.distance(s).orderBy("spectrum_id").collect()
+    assert [r["quality"] for r in rows] == kept.tolist() and np.allclose([r["distance"] for r in rows], d) and len(stores) == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,18 +59,40 @@ def fields(line: str, sep: str | None = None) -> list[str]:
     return line.split()
 
 
-def parse(text: str, sep: str | None = None) -> tuple[str, list[tuple[str, np.ndarray, np.ndarray]], int]:
+def lines_of(text: str | memoryview, size: int = 1 << 20) -> Iterator[str]:
+    """The lines of a text or of UTF-8 bytes, some of them at a time."""
+    a, n, more = 0, len(text), size
+    while a < n:
+        piece = text[a : a + more] if isinstance(text, str) else bytes(text[a : a + more])
+        if a + more < n:
+            cut = piece.rfind("\n" if isinstance(text, str) else b"\n") + 1
+            if not cut:  # a longer line
+                more *= 2
+                continue
+            piece = piece[:cut]
+        a, more = a + len(piece), size
+        yield from (piece if isinstance(piece, str) else piece.decode("utf-8", "replace")).splitlines()
+
+
+def parse(text: str | memoryview, sep: str | None = None) -> tuple[str, list[tuple[str, np.ndarray, np.ndarray]], int]:
     """Orientation, (name, axis, values) of the spectra in a file of any layout, and the number of lines after the first that are not numbers."""
-    rows, skipped = [], 0
-    for k, line in enumerate(text.splitlines()):
+    flat, sizes, skipped = array("d"), array("q"), 0  # numbers of eight bytes, no objects for each
+    for k, line in enumerate(lines_of(text)):
         if not line.strip():
             continue
         try:
-            rows.append([float(f) if f not in ("", "NA") else np.nan for f in fields(line, sep)])
+            row = [float(f) if f not in ("", "NA") else np.nan for f in fields(line, sep)]
         except ValueError:
             skipped += k > 0
-    width = max(map(len, rows), default=0)
-    m = np.array([r + [np.nan] * (width - len(r)) for r in rows]).reshape(len(rows), width)
+            continue
+        flat.extend(row)
+        sizes.append(len(row))
+    size, width = np.array(sizes), max(sizes, default=0)
+    if len(size) and size.min() == width:
+        m = np.frombuffer(flat).reshape(len(size), width)
+    else:
+        m = np.full((len(size), width), np.nan)
+        m[np.arange(width) < size[:, None]] = np.array(flat)
     if not m.size:
         return "empty", [], skipped
     orient = "column"
@@ -84,8 +107,13 @@ def parse(text: str, sep: str | None = None) -> tuple[str, list[tuple[str, np.nd
     keys, wave, value = m[:, :-2], m[:, -2], m[:, -1]
     axis = np.unique(wave[np.isfinite(wave)])
     out: dict[str, np.ndarray] = {}
-    for k, w, v in zip(keys, wave, value, strict=True):
-        out.setdefault("_".join(f"{x:g}" for x in k), np.full(len(axis), np.nan))[np.searchsorted(axis, w)] = v
+    at = np.searchsorted(axis, wave)
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):  # lines of one spectrum, as a rule
+        name = "_".join(f"{x:g}" for x in keys[a])
+        if name not in out:
+            out[name] = np.full(len(axis), np.nan)
+        out[name][at[a:b]] = value[a:b]
     return "coordinates", [(k, axis, v) for k, v in out.items()], skipped
 
 
@@ -94,11 +122,18 @@ def read_spectra(spark: SparkSession, path: str, file_type: str = "txt", sep: st
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{file_type}").load(path)
     files = files.where(~F.col("path").rlike("(?i)metadata[^/]*$")).select("path", "content")
 
+    kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["filename", "spectrum", "orient", "axis", "y", "skipped"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                orient, found, skipped = parse(content.decode("utf-8", "replace"), sep)
+            rows, points = [], 0
+            for at in range(b.num_rows):  # one file at a time
+                name = b.column(0)[at].as_py()
+                orient, found, skipped = parse(memoryview(b.column(1)[at].as_buffer()) if b.column(1)[at].is_valid else "", sep)
                 if not found:  # the file is named, with what is known of it
                     rows.append((name, None, orient, None, None, skipped))
                 for key, x, y in found:
@@ -107,14 +142,16 @@ def read_spectra(spark: SparkSession, path: str, file_type: str = "txt", sep: st
                     keep = (x >= cutoff[0]) & (x <= cutoff[1])
                     if interpolation:
                         ok = np.isfinite(y)
-                        at = np.arange(np.ceil(cutoff[0]), np.floor(cutoff[1]) + 1)
-                        x, y = at, natural_spline(x[ok], y[ok], at)
+                        at_ = np.arange(np.ceil(cutoff[0]), np.floor(cutoff[1]) + 1)
+                        x, y = at_, natural_spline(x[ok], y[ok], at_)
                     else:
                         x, y = x[keep], y[keep]
                     rows.append((name, key, orient, x.tolist(), [None if np.isnan(v) else v for v in y.tolist()], skipped))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["filename", "spectrum", "orient", "axis", "y", "skipped"])
+                    points += len(x)
+                    if points > 200_000:
+                        yield batch(rows)
+                        rows, points = [], 0
+            yield batch(rows)
 
     return files.mapInArrow(run, SCHEMA)
 

@@ -1,10 +1,13 @@
 """Steps that once took a bounded number of rows, or held all rows in one place."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from prismfold.operators import cluster, markers, quality, reduction
+from prismfold.sources import files
 from prismfold.spectra import Spectra, stored
 
 
@@ -129,3 +132,21 @@ def test_distance_looks_at_rows_once_cut_no_more(spark, monkeypatch):
     monkeypatch.setattr(quality, "stored", lambda df: stores.append(1) or stored(df))
     rows = quality.distance(s).orderBy("spectrum_id").collect()
     assert [r["quality"] for r in rows] == kept.tolist() and np.allclose([r["distance"] for r in rows], d) and len(stores) == 1
+
+
+def test_lines_in_pieces():
+    text = "äöü\r\n\nlong line " + "x" * 40 + "\n1\t2\x0b3\nlast"
+    for size in (1, 3, 10, 1000):
+        assert list(files.lines_of(text, size)) == list(files.lines_of(memoryview(text.encode()), size)) == text.splitlines()
+
+
+def test_coordinate_files_make_no_objects_for_each_number():
+    lines = "".join(f"{k}\t7\t{w}\t{k + w}\n" for k in range(2_000) for w in range(500, 564))
+    tracemalloc.start()
+    kind, found, skipped = files.parse("x\ty\twave\tvalue\n" + lines)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (kind, len(found), skipped) == ("coordinates", 2_000, 0) and found[5][0] == "5_7" and found[5][2].tolist() == [5 + w for w in range(500, 564)]
+    assert most < 128 * len(lines.splitlines())  # 300 bytes a line before
+    again = files.parse("1\t500\t1\n2\t500\t5\n1\t501\t2\n1\t500\t3\n")[1]  # a spectrum's lines apart, and one twice
+    assert [(k, v.tolist()) for k, _, v in again][0] == ("1", [3, 2]) and again[1][0] == "2" and again[1][2][0] == 5

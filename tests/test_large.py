@@ -147,6 +147,6 @@ def test_coordinate_files_make_no_objects_for_each_number():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (kind, len(found), skipped) == ("coordinates", 2_000, 0) and found[5][0] == "5_7" and found[5][2].tolist() == [5 + w for w in range(500, 564)]
-    assert most < 128 * len(lines.splitlines())  # 300 bytes a line before
+    assert most < 128 * len(lines.splitlines())  # 369 bytes a line before
     again = files.parse("1\t500\t1\n2\t500\t5\n1\t501\t2\n1\t500\t3\n")[1]  # a spectrum's lines apart, and one twice
     assert [(k, v.tolist()) for k, _, v in again][0] == ("1", [3, 2]) and again[1][0] == "2" and again[1][2][0] == 5

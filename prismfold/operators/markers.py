@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import adjust, chi2_cdf, f_cdf, normal_cdf, t_two_sided
 from ..spectra import Spectra, numbered, stored
+from .forest import Trees, permuted_hits
 from .preprocess import bubble_baseline, iterative_polyfit
 from .reduction import components, moments
 
@@ -278,7 +279,7 @@ def permutation_importance(s: Spectra, trees: int = 100, threshold: float = 0.00
     """Loss of held-out accuracy when a column is shuffled, of a random forest over five folds' training part."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     folds = balanced_folds(s.df, 5, seed)
     data = s.df.select("spectrum_id", "group", F.col(s.stage).alias("y")).join(folds.select("spectrum_id", "fold"), "spectrum_id")
@@ -291,9 +292,11 @@ def permutation_importance(s: Spectra, trees: int = 100, threshold: float = 0.00
     last = placed.agg(F.max("__at")).first()[0] or 0
     other = placed.select(F.pmod(F.col("__at") - 1, F.lit(last + 1)).alias("__at"), F.col("y").alias("__other"))
     placed = placed.join(other, "__at").drop("__at", "__hash")
-    many = placed.select("label", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("pos"), "y", "__other")
-    mixed = many.withColumn("y", F.expr("transform(y, (v, i) -> CASE WHEN i = pos THEN element_at(__other, i + 1) ELSE v END)"))
-    scored = model.transform(mixed.withColumn("features", array_to_vector("y"))).groupBy("pos").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    # Rows are dealt out evenly: the work is in the trees, and few rows would end up in one task.
+    whole = lambda c: vector_to_array(array_to_vector(c)).alias(c)
+    spark = s.df.sparkSession
+    dealt = placed.select("label", whole("y"), whole("__other")).repartition(max(2, spark.sparkContext.defaultParallelism))
+    scored = stored(permuted_hits(dealt, Trees.of(spark, model, model.numClasses), n))  # a row for each column
     base = scored.where("pos = -1").select(F.col("accuracy").alias("base"))
     axis = F.array(*[F.lit(w) for w in s.axis.tolist()])
     return scored.where("pos >= 0").crossJoin(F.broadcast(base)).select("pos", F.element_at(axis, F.col("pos") + 1).alias("wavenumber"), (F.col("base") - F.col("accuracy")).alias("importance")).where(F.col("importance") > threshold)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spectra import shared_folder
 from .preprocess import rectangle
@@ -73,13 +74,13 @@ class Trees:
 
     def summed(self, x: np.ndarray) -> np.ndarray:
         """(row, class): the votes of all trees, added up in their order as Spark does."""
-        out = np.zeros((len(self.votes), len(x)))
+        out, by_node = np.zeros((len(x), len(self.votes))), np.ascontiguousarray(self.votes.T)
         block = max(1, PAIRS // 64)
         for a in range(0, len(x), block):
             for t in range(0, len(self.roots), 64):
                 for leaf in self.leaves(x[a : a + block], self.roots[t : t + 64]).T:
-                    out[:, a : a + block] += self.votes[:, leaf]
-        return out.T
+                    out[a : a + block] += by_node[leaf]
+        return out
 
     def classes(self, x: np.ndarray) -> np.ndarray:
         """The class of most votes, the first of equal ones, from shares as Spark takes them."""
@@ -160,3 +161,24 @@ def permuted_hits(df: DataFrame, trees: Trees, n: int) -> DataFrame:
 
     found = df.select("label", "y", "__other").mapInArrow(run, "pos int, hits long, rows long")
     return found.groupBy("pos").agg(F.sum("hits").alias("hits"), F.sum("rows").alias("rows")).where("rows > 0").select("pos", (F.col("hits") / F.col("rows")).alias("accuracy"))
+
+
+def left_out_votes(df: DataFrame, bags: list[Trees], classes: int) -> DataFrame:
+    """votes instead of left and y: by class, the sum over the bags that left the row out; other bags do not look at it."""
+    sent = df.sparkSession.sparkContext.broadcast(bags)  # nodes, not rows
+    keep = [f for f in df.schema.fields if f.name not in ("left", "y")]
+    names = [f.name for f in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = lambda name: b.column(b.schema.get_field_index(name))  # noqa: B023, E731
+            x, left = rectangle(column("y")), column("left").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            votes = np.zeros((b.num_rows, classes))
+            for trees, out in zip(sent.value, left.T, strict=True):
+                votes[out] += trees.summed(x[out])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * classes, pa.int32()), pa.array(votes.ravel()))
+            yield pa.record_batch([*(column(n) for n in names), lists], names=[*names, "votes"])
+
+    return df.mapInArrow(run, T.StructType([*keep, T.StructField("votes", T.ArrayType(T.DoubleType()))]))

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spectra import Spectra, stored
+from .forest import Trees, left_out_votes
 from .preprocess import map_rows, rectangle
 from .reduction import components, gram, moments, pca_model, project
 from .stats import stratified_partition
 
+#: Forests fitted at a time.
+FITS = 5
+
 
 def split(s: Spectra, share: float = 0.7, seed: int = 42) -> tuple[Spectra, Spectra]:
     part = stratified_partition(s.df, share, seed)
@@ -235,18 +242,19 @@ def forest_out_of_bag(s: Spectra, trees: int = 500, bags: int = 10, mtry: int |
     data = s.df.where(F.col("group").isNotNull() & s.y.isNotNull()).select("spectrum_id", "group", array_to_vector(s.stage).alias("features"))
     index = StringIndexer(inputCol="group", outputCol="label", stringOrderType="alphabetAsc").fit(data)
     data = stored(index.transform(data))
-    names, none = F.array(*[F.lit(c) for c in index.labels]), F.array(*[F.lit(0.0) for _ in index.labels])
+    names, spark = F.array(*[F.lit(c) for c in index.labels]), data.sparkSession
     bags = max(2, min(bags, trees))
-    out = data.select("spectrum_id", "group", "features", none.alias("votes"))
-    for b in range(bags):
-        left = F.pmod(F.xxhash64("spectrum_id", F.lit(b), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) / np.e)
+    left = [F.pmod(F.xxhash64("spectrum_id", F.lit(b), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) / np.e) for b in range(bags)]
+
+    def grown(b: int) -> Trees:
         many = trees // bags + (b < trees % bags)
-        forest = RandomForestClassifier(numTrees=many, featureSubsetStrategy=str(mtry) if mtry else "sqrt", seed=seed + b, maxDepth=10, rawPredictionCol="__raw", probabilityCol="__p", predictionCol="__index")
-        scored = forest.fit(data.where(~left)).transform(out)
-        votes = vector_to_array("__raw")
-        # A bag that lacks the last classes votes on fewer of them.
-        more = F.transform("votes", lambda v, i: v + F.coalesce(F.get(votes, i), F.lit(0.0)))  # noqa: B023
-        out = scored.select("spectrum_id", "group", "features", F.when(left, more).otherwise(F.col("votes")).alias("votes"))
+        forest = RandomForestClassifier(numTrees=many, featureSubsetStrategy=str(mtry) if mtry else "sqrt", seed=seed + b, maxDepth=10, cacheNodeIds=True)
+        return Trees.of(spark, forest.fit(data.where(~left[b])), len(index.labels))
+
+    # A bag's fit is many short jobs with waits between them, so several go on at a time.
+    with ThreadPool(min(bags, FITS)) as pool:
+        found = [f.get() for f in [pool.apply_async(inheritable_thread_target(spark)(partial(grown, b))) for b in range(bags)]]
+    out = left_out_votes(data.select("spectrum_id", "group", F.array(*left).alias("left"), vector_to_array("features").alias("y")), found, len(index.labels))
     total = F.aggregate("votes", F.lit(0.0), lambda a, v: a + v)
     known = out.select("spectrum_id", "group", F.when(total > 0, F.col("votes")).alias("votes"))
     known = known.withColumn("probability", F.transform("votes", lambda v: v / total))

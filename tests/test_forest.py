@@ -6,9 +6,9 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from prismfold.operators import forest, markers
+from prismfold.operators import forest, markers, models
 from prismfold.operators.forest import Trees
-from prismfold.spectra import Spectra
+from prismfold.spectra import Spectra, stored
 
 
 def labelled(spark, m, n, k, whole=False, seed=1):
@@ -50,3 +50,30 @@ def test_importance_without_a_row_for_each_column(spark, monkeypatch):
     found = markers.permutation_importance(Spectra.of(df.select("spectrum_id", "group", F.col("y").alias("raw_data")), range(6)), 20, -1.0).collect()
     assert len(found) == 6 and max(found, key=lambda r: r["importance"])["pos"] == 1
     assert seen[0].count() == sum(-(-r[1] // 5) for r in df.groupBy("group").count().collect())  # the held fold, each row once
+
+
+def test_left_out_votes_as_of_the_models(spark, monkeypatch):
+    _, _, df = labelled(spark, 160, 5, 3, True)
+    s = Spectra.of(df.select("spectrum_id", "group", F.col("y").alias("raw_data")).repartition(2), range(5))
+    active, most, real = [], [], RandomForestClassifier.fit
+
+    def fit(self, data):
+        active.append(1)
+        most.append(len(active))
+        try:
+            return real(self, data)
+        finally:
+            active.pop()
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", fit)
+    got = models.forest_out_of_bag(s, 7, 3)
+    assert max(most) > 1  # one fit does not wait for another
+    assert "MapInArrow" in got._jdf.queryExecution().toString()  # not all trees over all rows, a bag after another
+    data = stored(s.df.select("spectrum_id", "group", F.regexp_extract("group", "[0-9]", 0).cast("double").alias("label"), array_to_vector("raw_data").alias("features")))
+    want = {r[0]: [0.0] * 3 for r in data.select("spectrum_id").collect()}
+    for b, many in enumerate((3, 2, 2)):
+        left = F.pmod(F.xxhash64("spectrum_id", F.lit(b), F.lit(42)), F.lit(1 << 30)) < int((1 << 30) / np.e)
+        model = real(RandomForestClassifier(numTrees=many, featureSubsetStrategy="sqrt", seed=42 + b, maxDepth=10), data.where(~left))
+        for r in model.transform(data.where(left)).select("spectrum_id", "rawPrediction").collect():
+            want[r[0]] = [v + w for v, w in zip(want[r[0]], r[1].toArray().tolist(), strict=True)]
+    assert {r["spectrum_id"]: r["votes"] or [0.0] * 3 for r in got.collect()} == want

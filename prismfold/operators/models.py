@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -213,7 +213,13 @@ def svm(train: Spectra, cost: float = 1.0, passes: int = 150, tolerance: float =
 def random_forest(train: Spectra, trees: int = 100, mtry: int = 2, seed: int = 42) -> MlClassifier:
     from pyspark.ml.classification import RandomForestClassifier
 
-    return _pipeline(train, RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(mtry), seed=seed, maxDepth=10, labelCol="label", predictionCol="__index", probabilityCol="__p", rawPredictionCol="__raw"), False, True)
+    return _pipeline(train, RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(mtry), seed=seed, maxDepth=10, cacheNodeIds=True, labelCol="label", predictionCol="__index", probabilityCol="__p", rawPredictionCol="__raw"), False, True)
+
+
+def _together(spark, fit, of) -> list:
+    """fit of each. A forest's fit is many short jobs with waits between them, so several go on at a time."""
+    with ThreadPool(max(1, min(len(of), FITS))) as pool:
+        return [f.get() for f in [pool.apply_async(inheritable_thread_target(spark)(partial(fit, k))) for k in of]]
 
 
 def forest_votes(df: DataFrame, trees: int = 50, folds: int = 5, seed: int = 42, y: str = "raw_data") -> DataFrame:
@@ -221,12 +227,12 @@ def forest_votes(df: DataFrame, trees: int = 50, folds: int = 5, seed: int = 42,
     from .markers import balanced_folds
 
     data = df.join(balanced_folds(df, folds, seed).select("spectrum_id", "fold"), "spectrum_id")
-    out = None
-    for f in range(1, folds + 1):
+
+    def judged(f: int) -> DataFrame:
         train = Spectra.of(data.where(F.col("fold") != f).withColumnRenamed(y, "raw_data"), [0.0])
-        held = random_forest(train, trees, seed=seed).predict(data.where(F.col("fold") == f).withColumnRenamed(y, "raw_data"), "raw_data").select("spectrum_id", "group", "fold", "prediction", "probability")
-        out = held if out is None else out.unionByName(held)
-    return out
+        return random_forest(train, trees, seed=seed).predict(data.where(F.col("fold") == f).withColumnRenamed(y, "raw_data"), "raw_data").select("spectrum_id", "group", "fold", "prediction", "probability")
+
+    return reduce(DataFrame.unionByName, _together(df.sparkSession, judged, range(1, folds + 1)))
 
 
 def forest_out_of_bag(s: Spectra, trees: int = 500, bags: int = 10, mtry: int | None = None, seed: int = 42) -> DataFrame:
@@ -251,9 +257,7 @@ def forest_out_of_bag(s: Spectra, trees: int = 500, bags: int = 10, mtry: int |
         forest = RandomForestClassifier(numTrees=many, featureSubsetStrategy=str(mtry) if mtry else "sqrt", seed=seed + b, maxDepth=10, cacheNodeIds=True)
         return Trees.of(spark, forest.fit(data.where(~left[b])), len(index.labels))
 
-    # A bag's fit is many short jobs with waits between them, so several go on at a time.
-    with ThreadPool(min(bags, FITS)) as pool:
-        found = [f.get() for f in [pool.apply_async(inheritable_thread_target(spark)(partial(grown, b))) for b in range(bags)]]
+    found = _together(spark, grown, range(bags))
     out = left_out_votes(data.select("spectrum_id", "group", F.array(*left).alias("left"), vector_to_array("features").alias("y")), found, len(index.labels))
     total = F.aggregate("votes", F.lit(0.0), lambda a, v: a + v)
     known = out.select("spectrum_id", "group", F.when(total > 0, F.col("votes")).alias("votes"))

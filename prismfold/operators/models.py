@@ -20,8 +20,8 @@ from .preprocess import map_rows, rectangle
 from .reduction import components, gram, moments, pca_model, project
 from .stats import stratified_partition
 
-#: Forests fitted at a time.
-FITS = 5
+#: Forests fitted at a time; the driver holds the nodes of each while they grow.
+FITS = 2
 
 
 def split(s: Spectra, share: float = 0.7, seed: int = 42) -> tuple[Spectra, Spectra]:
